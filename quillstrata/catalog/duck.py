@@ -232,10 +232,19 @@ def distribution(column: str, table: str = "documents") -> str:
     )
 
 
-STAT_COLUMNS = """CAST(min(value) AS BIGINT) AS min,
-  CAST(trunc(quantile_cont(value, 0.25)) AS BIGINT) AS p25, CAST(trunc(quantile_cont(value, 0.5)) AS BIGINT) AS median,
-  round(sum(value)::DOUBLE / count(value), 2) AS mean,
-  CAST(trunc(quantile_cont(value, 0.95)) AS BIGINT) AS p95, CAST(trunc(quantile_cont(value, 0.99)) AS BIGINT) AS p99,
+def quantile(q: float) -> str:
+    """Linear interpolation between neighbouring ranks, taken from the nearer one, cut to an integer."""
+    ranks, at = "list_sort(list(value))", f"((count(value) - 1) * {q}::DOUBLE)"
+    low, high = f"{ranks}[CAST(floor({at}) AS BIGINT) + 1]", f"{ranks}[CAST(ceil({at}) AS BIGINT) + 1]"
+    share = f"({at} - floor({at}))"
+    return (
+        f"CAST(trunc(CASE WHEN {share} >= 0.5 THEN {high} - ({high} - {low}) * (1 - {share}) "
+        f"ELSE {low} + ({high} - {low}) * {share} END) AS BIGINT)"
+    )
+
+
+STAT_COLUMNS = f"""CAST(min(value) AS BIGINT) AS min, {quantile(0.25)} AS p25, {quantile(0.5)} AS median,
+  round(sum(value)::DOUBLE / count(value), 2) AS mean, {quantile(0.95)} AS p95, {quantile(0.99)} AS p99,
   CAST(max(value) AS BIGINT) AS max"""
 
 
@@ -448,7 +457,7 @@ ORACLE = {
   CAST(count(*) FILTER (len(errors) = 0) AS BIGINT) AS valid_count,
   CAST(count(*) FILTER (len(errors) > 0) AS BIGINT) AS quarantined_count,
   {pct('count(*) FILTER (len(errors) > 0)', 'count(*)')} AS quarantine_rate FROM checked""",
-    "protect_slots": f"WITH {HIDE} SELECT doc_id, {restored('upper(h.text)', 's.text')} AS text FROM hidden h JOIN slotted s USING (doc_id)",
+    "protect_slots": f"WITH {HIDE} SELECT doc_id, {restored('lower(h.text)', 's.text')} AS text FROM hidden h JOIN slotted s USING (doc_id)",
     "redact_email": plain_redaction(["EMAIL_ADDRESS"]),
     "redact_phone": plain_redaction(["PHONE_NUMBER"]),
     "redact_card": plain_redaction(["CREDIT_CARD"]),

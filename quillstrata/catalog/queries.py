@@ -180,7 +180,7 @@ def validation_summary(spark, d):
 
 
 def protect_slots_query(spark, d):
-    return views.slotted(spark, d).select("doc_id", protect_slots(F.col("text"), F.upper).alias("text"))
+    return views.slotted(spark, d).select("doc_id", protect_slots(F.col("text"), F.lower).alias("text"))
 
 
 def _redacted(rewrite):

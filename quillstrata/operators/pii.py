@@ -24,7 +24,7 @@ def detect_records(
 
 
 def pii_scan(df: DataFrame, column: str, entities: Sequence[str] = pii.DEFAULT_ENTITIES) -> DataFrame:
-    """(rows_checked, rows_changed) — how many rows masking would alter."""
+    """(rows_checked, rows_changed): how many rows masking would alter."""
     changed = pii.sanitize_text(F.col(column), entities) != F.col(column)
     return df.agg(
         F.count(F.lit(1)).alias("rows_checked"), F.count_if(changed).alias("rows_changed")

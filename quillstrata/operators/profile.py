@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,30 +28,50 @@ def class_distribution(df: DataFrame, label_col: str, digits: int = 2) -> DataFr
     )
 
 
+QUANTILES = {"p25": 0.25, "median": 0.5, "p95": 0.95, "p99": 0.99}
+
+
 def percentile_stats(values: DataFrame, metric_col: str = "metric", value_col: str = "value") -> DataFrame:
-    """min … max per metric of a long (metric, value) table.
+    """min ... max per metric of a long (metric, value) table of whole numbers.
 
-    Equal values are counted first, so the exact percentiles run over (value, count) pairs; interpolation is linear
-    and its result cut to an integer.
+    Equal values are counted first (on the map side), so ranking runs over distinct values with running counts and
+    spills if it must, instead of holding a map of them. Quantiles interpolate linearly between neighbouring ranks, from
+    the nearer one, and are cut to integers.
     """
-    counted = values.where(F.col(value_col).isNotNull()).groupBy(metric_col, value_col).agg(
-        F.count(F.lit(1)).alias("n")
-    )
     value = F.col(value_col)
-    cuts = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("n"))
-    stats = counted.groupBy(metric_col).agg(
+    counted = values.where(value.isNotNull()).groupBy(metric_col, value_col).agg(F.count(F.lit(1)).alias("n"))
+    totals = counted.groupBy(metric_col).agg(
         F.min(value).alias("min"),
-        cuts.alias("cuts"),
         F.sum(value * F.col("n")).alias("total"),
         F.sum("n").alias("rows"),
         F.max(value).alias("max"),
     )
-    return stats.select(
+    upto = F.sum("n").over(Window.partitionBy(metric_col).orderBy(value_col))
+    ranked = counted.withColumn("upto", upto).join(totals, metric_col)
+    positions = {name: (F.col("rows") - 1) * F.lit(q) for name, q in QUANTILES.items()}
+
+    def at_rank(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") > rank, value))
+
+    ends = ranked.groupBy(metric_col, "min", "total", "rows", "max").agg(
+        *[at_rank(F.floor(position)).alias(f"{name}_low") for name, position in positions.items()],
+        *[at_rank(F.ceil(position)).alias(f"{name}_high") for name, position in positions.items()],
+    )
+
+    def between(name: str) -> Column:
+        low, high, position = F.col(f"{name}_low"), F.col(f"{name}_high"), positions[name]
+        share = position - F.floor(position)
+        nearer_high = high - (high - low) * (1 - share)
+        return F.when(share >= 0.5, nearer_high).otherwise(low + (high - low) * share).cast("bigint").alias(name)
+
+    return ends.select(
         metric_col,
         F.col("min").cast("bigint"),
-        *[F.col("cuts")[i].cast("bigint").alias(n) for i, n in [(0, "p25"), (1, "median")]],
+        between("p25"),
+        between("median"),
         F.round(F.col("total") / F.col("rows"), 2).alias("mean"),
-        *[F.col("cuts")[i].cast("bigint").alias(n) for i, n in [(2, "p95"), (3, "p99")]],
+        between("p95"),
+        between("p99"),
         F.col("max").cast("bigint"),
     )
 
@@ -257,26 +277,22 @@ def full_profile(df: DataFrame, tokenizer: Callable[[Column], Column] = pre_toke
     return table
 
 
-def _rows_as_list(df: DataFrame, order: list[str]) -> Column:
-    """A bounded table (one row per label or metric) as one array value."""
-    return df.agg(F.sort_array(F.collect_list(F.struct(*order))).alias("rows")).scalar()
-
-
 def profile_report(df: DataFrame, tokenizer: Callable[[Column], Column] = pre_token_count) -> DataFrame:
     """The nested one-row report: totals, label shares, length and token maps, slots, duplicates."""
 
     def shares(column: str) -> Column:
-        # Sorting on the negated count puts the most frequent label first.
-        ranked = class_distribution(df, column).withColumn("rank", -F.col("count"))
-        rows = _rows_as_list(ranked, ["rank", "label", "count", "percentage"])
-        return F.transform(rows, lambda r: F.struct(r["label"].alias("label"), r["count"].alias("count"),
-                                                    r["percentage"].alias("percentage")))
+        # One element per label; sorting on the negated count puts the most frequent first.
+        ranked = class_distribution(df, column).select((-F.col("count")).alias("rank"), "label", "count", "percentage")
+        listed = ranked.agg(F.sort_array(F.collect_list(F.struct(*ranked.columns))).alias("rows"))
+        plain = F.transform(
+            "rows",
+            lambda r: F.struct(*[r[c].alias(c) for c in ["label", "count", "percentage"]]),
+        )
+        return listed.select(plain.alias("rows")).scalar()
 
     def metric_map(stats: DataFrame) -> Column:
-        entries = stats.agg(
-            F.map_from_entries(F.collect_list(F.struct("metric", F.struct(*STATS).alias("stats")))).alias("m")
-        )
-        return entries.scalar()
+        entries = F.collect_list(F.struct("metric", F.struct(*STATS).alias("stats")))
+        return stats.agg(F.map_from_entries(entries).alias("m")).scalar()
 
     duplicates = dedup_stats(df)
     slots = placeholder_stats(df)

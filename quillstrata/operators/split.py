@@ -27,9 +27,9 @@ def seeded_cluster_order(clustered: DataFrame, seed: int = 42) -> DataFrame:
     counts = headed.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
     listed = counts.agg(F.collect_list(F.struct("head", "n")).alias("groups")).scalar()
     before = F.aggregate(
-        listed, F.lit(0).cast("bigint"), lambda acc, g: acc + F.when(g["head"] < F.col("head"), g["n"]).otherwise(0)
+        "groups", F.lit(0).cast("bigint"), lambda acc, g: acc + F.when(g["head"] < F.col("head"), g["n"]).otherwise(0)
     )
-    offsets = counts.select("head", before.alias("offset"))
+    offsets = counts.withColumn("groups", listed).select("head", before.alias("offset"))
     inside = F.row_number().over(Window.partitionBy("head").orderBy("key", "cluster_id")) - 1
     ranked = headed.withColumn("inside", inside).join(F.broadcast(offsets), "head")
     return ranked.select("cluster_id", "size", "key", (F.col("offset") + F.col("inside")).alias("position"))
