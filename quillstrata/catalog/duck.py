@@ -46,7 +46,7 @@ PAIRS = """pairs AS (
          CASE WHEN length(text) % 7 = 0 THEN 'X' WHEN length(text) % 11 = 0 THEN '   '
               WHEN length(text) % 2 = 0 THEN ' order ' ELSE 'Refund' END AS category,
          CASE WHEN length(r) % 5 = 0 THEN ' Track_Order' || chr(10) ELSE 'get_refund' END AS intent,
-         CASE WHEN length(text) % 19 = 0 THEN chr(9) || '     ' WHEN length(text) % 23 = 0 THEN 'No.' ELSE r END AS response
+         CASE WHEN length(text) % 19 = 0 THEN chr(9) || chr(160) || '    ' WHEN length(text) % 23 = 0 THEN 'No.' ELSE r END AS response
   FROM (SELECT *, lead(text) OVER w AS r, lead(role) OVER w AS r_role FROM conversations
         WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user' AND r_role = 'assistant')"""

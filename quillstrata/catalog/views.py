@@ -81,7 +81,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(asked % 7 == 0, "X").when(asked % 11 == 0, "   ").when(asked % 2 == 0, " order ").otherwise("Refund")
         .alias("category"),
         F.when(answered % 5 == 0, " Track_Order\n").otherwise("get_refund").alias("intent"),
-        F.when(asked % 19 == 0, "\t     ").when(asked % 23 == 0, "No.").otherwise(F.col("response")).alias("response"),
+        F.when(asked % 19 == 0, chr(9) + chr(160) + "    ").when(asked % 23 == 0, "No.").otherwise(F.col("response"))
+        .alias("response"),
     )
 
 
