@@ -406,9 +406,9 @@ def vocabulary_topk(spark, d):
 
 
 def tfidf_weights(spark, d):
-    df = views.documents(spark, d)
-    vocabulary = features.vocabulary_topk(df, word_ngrams("text"), features.WORD_FEATURES)
-    weights = features.tfidf_weights(df, word_ngrams("text"), "doc_id", vocabulary)
+    # Spread without a key: the counts are then shuffled once and that shuffle serves vocabulary and weights alike.
+    df = records.spread(views.table(spark, d, "documents"))
+    weights = features.tfidf_weights(df, word_ngrams("text"), "doc_id", features.WORD_FEATURES)
     return weights.select("doc_id", "term", "tf", F.round("weight", 4).alias("weight"))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MERSENNE_31 = 2**31 - 1
 
@@ -36,6 +38,42 @@ def permutations(num_perm: int) -> list[tuple[int, int]]:
     ]
 
 
+# Hashes handled at a time: small enough for the working arrays to stay in the processor cache.
+_BLOCK = 32_768
+
+
+def minhash(hashes: Column, num_perm: int) -> Column:
+    """Minimum of each permutation over a non-empty array of base hashes, as array<bigint>.
+
+    Row-wise, so it needs neither an exploded table nor a shuffle. The arithmetic is vectorized over Arrow batches.
+    """
+    draws = permutations(num_perm)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def minima(batch: pa.Array) -> pa.Array:
+        values = batch.flatten().to_numpy(zero_copy_only=False)
+        bounds = batch.offsets.to_numpy() - batch.offsets[0].as_py()
+        signed = np.empty((len(batch), num_perm), dtype=np.int64)
+        first = 0
+        while first < len(batch):
+            # As many whole rows as fit a block, one at least.
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + _BLOCK, side="right")) - 1)
+            block = values[bounds[first] : bounds[last]]
+            starts = bounds[first:last] - bounds[first]
+            for i, (slope, offset) in enumerate(draws):
+                # Twice folding the high bits over the low 31 is the remainder by 2^31 - 1, up to one subtraction.
+                mixed = block * slope + offset
+                mixed = (mixed & MERSENNE_31) + (mixed >> 31)
+                mixed = (mixed & MERSENNE_31) + (mixed >> 31)
+                mixed[mixed >= MERSENNE_31] -= MERSENNE_31
+                signed[first:last, i] = np.minimum.reduceat(mixed, starts)
+            first = last
+        offsets = np.arange(0, signed.size + 1, num_perm, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed.ravel()))
+
+    return minima(hashes)
+
+
 def band_shape(threshold: float, num_perm: int) -> tuple[int, int]:
     """(bands, rows) that minimize the evenly weighted false-positive and false-negative areas."""
     step = 1e-3

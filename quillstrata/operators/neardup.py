@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.functions.hashing import MERSENNE_31, band_shape, base_hash, permutations
+from quillstrata.functions.hashing import band_shape, base_hash, minhash
 from quillstrata.functions.text import shingle_list, word_shingles
 from quillstrata.plans.skew import lookup
 
@@ -23,20 +23,9 @@ def shingle_table(df: DataFrame, text_col: str, key: str) -> DataFrame:
 def minhash_signature(
     df: DataFrame, text_col: str, key: str, num_perm: int = DEFAULT_PERMUTATIONS
 ) -> DataFrame:
-    """(key, signature). Minima ignore repeats, so shingles are not made distinct first.
-
-    The shingles of a row sit in one partition: the map-side aggregate already yields one row per key, and only
-    ``num_perm`` numbers per text are shuffled.
-    """
-    hashes = df.select(key, F.explode(shingle_list(F.col(text_col))).alias("s")).select(
-        key, base_hash(F.col("s")).alias("h")
-    )
-    minima = [
-        F.min((F.lit(a) * F.col("h") + F.lit(b)) % F.lit(MERSENNE_31)).alias(f"_m{i}")
-        for i, (a, b) in enumerate(permutations(num_perm))
-    ]
-    signed = hashes.groupBy(key).agg(*minima)
-    return signed.select(key, F.array(*[f"_m{i}" for i in range(num_perm)]).alias("signature"))
+    """(key, signature), row by row. Minima ignore repeats, so shingles are not made distinct first."""
+    hashes = F.transform(shingle_list(F.col(text_col)), base_hash)
+    return df.select(key, minhash(hashes, num_perm).alias("signature"))
 
 
 def band_table(signatures: DataFrame, key: str, bands: int, rows: int) -> DataFrame:

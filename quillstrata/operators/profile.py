@@ -28,26 +28,46 @@ def class_distribution(df: DataFrame, label_col: str, digits: int = 2) -> DataFr
     )
 
 
+# Neighbouring values that one running count covers.
+VALUE_RANGE = 65_536
 QUANTILES = {"p25": 0.25, "median": 0.5, "p95": 0.95, "p99": 0.99}
 
 
 def percentile_stats(values: DataFrame, metric_col: str = "metric", value_col: str = "value") -> DataFrame:
     """min ... max per metric of a long (metric, value) table of whole numbers.
 
-    Equal values are counted first (on the map side), so ranking runs over distinct values with running counts and
-    spills if it must, instead of holding a map of them. Quantiles interpolate linearly between neighbouring ranks, from
-    the nearer one, and are cut to integers.
+    Equal values are counted first (on the map side). Ranks come from two running counts, one over ranges of
+    ``VALUE_RANGE`` neighbouring values and one inside each range, so no task ranks all values of a metric. Quantiles
+    interpolate linearly between neighbouring ranks, from the nearer one, and are cut to integers.
     """
-    value = F.col(value_col)
-    counted = values.where(value.isNotNull()).groupBy(metric_col, value_col).agg(F.count(F.lit(1)).alias("n"))
-    totals = counted.groupBy(metric_col).agg(
-        F.min(value).alias("min"),
-        F.sum(value * F.col("n")).alias("total"),
-        F.sum("n").alias("rows"),
-        F.max(value).alias("max"),
+    value, span = F.col(value_col), [metric_col, "range"]
+    counted = (
+        values.where(value.isNotNull())
+        .groupBy(metric_col, value_col)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("range", F.floor(value / VALUE_RANGE))
     )
-    upto = F.sum("n").over(Window.partitionBy(metric_col).orderBy(value_col))
-    ranked = counted.withColumn("upto", upto).join(totals, metric_col)
+    in_order = Window.partitionBy(metric_col).orderBy("range")
+    whole = Window.partitionBy(metric_col)
+    ranges = (
+        counted.groupBy(*span)
+        .agg(
+            F.min(value).alias("low"),
+            F.max(value).alias("high"),
+            F.sum(value * F.col("n")).alias("part"),
+            F.sum("n").alias("size"),
+        )
+        .select(
+            *span,
+            (F.sum("size").over(in_order) - F.col("size")).alias("before"),
+            F.sum("size").over(whole).alias("rows"),
+            F.sum("part").over(whole).alias("total"),
+            F.min("low").over(whole).alias("min"),
+            F.max("high").over(whole).alias("max"),
+        )
+    )
+    inside = F.sum("n").over(Window.partitionBy(*span).orderBy(value_col))
+    ranked = counted.withColumn("inside", inside).join(ranges, span).withColumn("upto", F.col("before") + F.col("inside"))
     positions = {name: (F.col("rows") - 1) * F.lit(q) for name, q in QUANTILES.items()}
 
     def at_rank(rank: Column) -> Column:
