@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,7 +137,7 @@ def pandas_tokenizer(count_tokens: Callable[[str], int]) -> Callable[[Column], C
     """Wrap a plain text -> token count function for use as a ``tokenizer`` (runs in Arrow batches)."""
 
     @F.pandas_udf(T.LongType())
-    def counts(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def counts(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else count_tokens(t)).astype("Int64")
 
     return lambda text: counts(text)

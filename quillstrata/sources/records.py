@@ -9,6 +9,16 @@ from pyspark.sql import types as T
 from quillstrata.schema import MESSAGES_SCHEMA
 
 
+# With every value quoted and quotes doubled, line breaks, quotes, outer blanks and empty texts survive; null is bare.
+CSV_EXACT = {
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "lineSep": "\n",
+}
+
+
 def load_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Read a Parquet table; a missing path raises Spark's PATH_NOT_FOUND."""
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -31,18 +41,13 @@ def ingest_raw(df: DataFrame, output_dir: str) -> dict[str, str]:
     """Keep an untouched copy as Parquet and as CSV; returns the two paths."""
     paths = {"parquet": f"{output_dir}/raw_parquet", "csv": f"{output_dir}/raw_csv"}
     df.write.mode("overwrite").parquet(paths["parquet"])
-    # Every value quoted and quotes doubled, so that line breaks, quotes and empty strings survive; null is bare.
-    df.write.mode("overwrite").options(
-        header=True, quoteAll=True, escape='"', nullValue=None, emptyValue=""
-    ).csv(paths["csv"])
+    df.write.mode("overwrite").options(header=True, quoteAll=True, **CSV_EXACT).csv(paths["csv"])
     return paths
 
 
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read the CSV copy back without loss."""
-    return spark.read.schema(schema).options(
-        header=True, multiLine=True, escape='"', emptyValue="", lineSep="\n"
-    ).csv(path)
+    return spark.read.schema(schema).options(header=True, multiLine=True, **CSV_EXACT).csv(path)
 
 
 def read_sft_jsonl(spark: SparkSession, path: str) -> DataFrame:
