@@ -9,10 +9,9 @@ from pyspark.sql import types as T
 from quillstrata.schema import MESSAGES_SCHEMA
 
 
-# With every value quoted and quotes doubled, line breaks, quotes, outer blanks and empty texts survive; null is bare.
+# Line breaks, quotes and outer blanks survive; an empty text is written as two quotes, a null as nothing.
 CSV_EXACT = {
     "escape": '"',
-    "emptyValue": "",
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
     "lineSep": "\n",
@@ -41,13 +40,16 @@ def ingest_raw(df: DataFrame, output_dir: str) -> dict[str, str]:
     """Keep an untouched copy as Parquet and as CSV; returns the two paths."""
     paths = {"parquet": f"{output_dir}/raw_parquet", "csv": f"{output_dir}/raw_csv"}
     df.write.mode("overwrite").parquet(paths["parquet"])
-    df.write.mode("overwrite").options(header=True, quoteAll=True, **CSV_EXACT).csv(paths["csv"])
+    df.write.mode("overwrite").options(header=True, **CSV_EXACT).csv(paths["csv"])
     return paths
 
 
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read the CSV copy back without loss."""
-    return spark.read.schema(schema).options(header=True, multiLine=True, **CSV_EXACT).csv(path)
+    """Read the CSV copy back without loss.
+
+    A bare field takes the null marker on its way in; with a marker no text has, an empty text is not taken for null.
+    """
+    return spark.read.schema(schema).options(header=True, multiLine=True, nullValue="\x00", **CSV_EXACT).csv(path)
 
 
 def read_sft_jsonl(spark: SparkSession, path: str) -> DataFrame:

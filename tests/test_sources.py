@@ -13,6 +13,7 @@ TRICKY = [
     (1, "B", 'quote " and, comma', "line\nbreak", "back\\slash", "\r\nboth"),
     (2, "", None, " lead", "trail ", '""'),
     (3, None, "", "\ttab", "\\", '\\"'),
+    (4, "#", "a\rb", "\r", "'", "N/A\n"),
 ]
 
 
