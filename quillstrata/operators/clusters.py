@@ -24,13 +24,12 @@ def bucket_edges(bands: DataFrame, key: str, parts: int = BUCKET_PARTS) -> DataF
     """
     part = F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
     dealt = bands.select(F.col(key).alias("src"), "bucket", part.alias("part"))
-    inner = Window.partitionBy("bucket", "part").orderBy("src")
-    heads = dealt.withColumn("head", F.first("src").over(inner))
+    smallest_first = Window.partitionBy("bucket", "part").orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
+    heads = dealt.withColumn("head", F.first("src").over(smallest_first))
     # Heads meet in part -1; the others keep their sub-group and are not touched again.
     is_head = F.col("src") == F.col("head")
     moved = heads.withColumn("part", F.when(is_head, F.lit(-1)).otherwise(F.col("part")))
-    outer = Window.partitionBy("bucket", "part").orderBy("src")
-    linked = moved.withColumn("top", F.first("src").over(outer))
+    linked = moved.withColumn("top", F.first("src").over(smallest_first))
     dst = F.when(F.col("part") == -1, F.col("top")).otherwise(F.col("head"))
     return linked.select("src", dst.alias("dst")).where(F.col("dst") < F.col("src")).distinct()
 

@@ -60,7 +60,10 @@ def prepare_corpus(
         df = sanitize_records(df, TEXTS)
     if normalize:
         df = normalize_records(df, output_instruction_col="instruction", output_response_col="response")
-    assigned = cut_lineage(split_corpus(df, key, "instruction", seed, threshold, num_perm, mode))
+    assigned = split_corpus(df, key, "instruction", seed, threshold, num_perm, mode)
+    if output_dir is not None:
+        # Read by the audit and by the write.
+        assigned = cut_lineage(assigned)
     audit = split_audit(assigned)
     if output_dir is not None:
         require_leak_free(audit)
