@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstrata.functions.hashing import MERSENNE_31, band_shape, permutations
+from quillstrata.functions.hashing import MERSENNE_31, band_shape, permutations, word_weights
 from quillstrata.operators.chat import DEFAULT_SYSTEM_PROMPT
 from quillstrata.schema import RULES
 
@@ -322,11 +322,18 @@ shingles AS (SELECT DISTINCT {ident}, unnest(CASE WHEN len(w) < 3 THEN [t] ELSE
 
 
 def signature_ctes(source: str = "documents", ident: str = "doc_id") -> str:
+    def hashed(x: str) -> str:
+        return f"CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT)"
+
     minima = ", ".join(
         f"min(({a} * h + {b}) % {MERSENNE_31}) AS m{i}" for i, (a, b) in enumerate(permutations(NUM_PERM))
     )
+    mixed = " + ".join(
+        f"{hashed(f'split_part(shingle, chr(32), {k + 1})')} * {w} % {MERSENNE_31}" for k, w in enumerate(word_weights())
+    )
     return f"""{shingle_ctes(source, ident)},
-hashes AS (SELECT {ident}, CAST('0x' || substr(md5(shingle), 1, 8) AS BIGINT) AS h FROM shingles),
+hashes AS (SELECT {ident}, CASE WHEN len(string_split(shingle, ' ')) < 3 THEN {hashed('shingle')}
+  ELSE ({mixed}) % {MERSENNE_31} END AS h FROM shingles),
 signatures AS MATERIALIZED (SELECT {ident}, {minima} FROM hashes GROUP BY {ident})"""
 
 

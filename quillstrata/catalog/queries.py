@@ -417,7 +417,7 @@ def _labelled_splits(spark, d) -> DataFrame:
     return split.naive_random_split(df, "record_id", 0.8, SEED)
 
 
-MODEL_SIZE = {"max_word_features": 2_000, "max_char_features": 4_000, "max_iter": 25}
+MODEL_SIZE = {"max_word_features": 2_000, "max_char_features": 4_000, "max_iter": 10}
 
 
 def _model(spark, d) -> tuple[classifier.TextLabelModel, DataFrame]:

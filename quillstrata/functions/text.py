@@ -81,26 +81,26 @@ def pre_token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(PRE_TOKEN)).cast("bigint")
 
 
+def clustering_text(text: Column) -> Column:
+    """What near-duplicate detection looks at: normalized and lowered, null taken as empty."""
+    return F.lower(normalize_text(F.coalesce(text, F.lit(""))))
+
+
 # Each word start looks ahead for three words, so one regex pass yields all overlapping shingles.
 _THREE_WORDS = r"(?<![^ ])(?=([^ ]+ [^ ]+ [^ ]+))"
 
 
-def shingle_list(text: Column) -> Column:
-    """3-word shingles of the normalized, lowered text, repeats kept; shorter texts give themselves."""
-    clean = F.lower(normalize_text(F.coalesce(text, F.lit(""))))
+def word_shingles(text: Column) -> Column:
+    """The set of 3-word shingles of the clustering text; a text of fewer words is its own shingle."""
     return let(
-        clean,
+        clustering_text(text),
         lambda t: F.when(
-            t.rlike(r"^[^ ]+ [^ ]+ [^ ]"), F.regexp_extract_all(t, F.lit(_THREE_WORDS), F.lit(1))
+            t.rlike(r"^[^ ]+ [^ ]+ [^ ]"),
+            F.array_distinct(F.regexp_extract_all(t, F.lit(_THREE_WORDS), F.lit(1))),
         ).otherwise(F.array(t)),
     )
 
 
-def word_shingles(text: Column) -> Column:
-    """The shingles as a set."""
-    return F.array_distinct(shingle_list(text))
-
-
 # Maximal runs of two or more word signs, which is what a \b\w\w+\b match comes to.
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
 

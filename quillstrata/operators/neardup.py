@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.functions.hashing import band_shape, base_hash, minhash
-from quillstrata.functions.text import shingle_list, word_shingles
+from quillstrata.functions.hashing import band_shape, minhash, shingle_sources
+from quillstrata.functions.text import clustering_text, word_shingles
 from quillstrata.plans.skew import lookup
 
 DEFAULT_THRESHOLD = 0.80
@@ -24,8 +24,8 @@ def minhash_signature(
     df: DataFrame, text_col: str, key: str, num_perm: int = DEFAULT_PERMUTATIONS
 ) -> DataFrame:
     """(key, signature), row by row. Minima ignore repeats, so shingles are not made distinct first."""
-    hashes = F.transform(shingle_list(F.col(text_col)), base_hash)
-    return df.select(key, minhash(hashes, num_perm).alias("signature"))
+    sources = shingle_sources(clustering_text(F.col(text_col)))
+    return df.select(key, minhash(sources, num_perm).alias("signature"))
 
 
 def band_table(signatures: DataFrame, key: str, bands: int, rows: int) -> DataFrame:

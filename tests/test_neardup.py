@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillstrata.functions.hashing import MERSENNE_31, band_shape, permutations
+from quillstrata.functions.hashing import MERSENNE_31, band_shape, permutations, word_weights
 from quillstrata.operators import clusters as C
 from quillstrata.operators import neardup as N
 from quillstrata.plans.skew import lookup
@@ -92,13 +92,19 @@ def test_one_hot_bucket_stays_linear(spark):
 def test_signature_matches_a_plain_loop(spark):
     import hashlib
 
-    texts = ["", "one", "one two", "a b c d e f", "a b c a b c a b c", "A  B\tC d", *[" ".join(map(str, range(k, k + 90))) for k in range(40)]]
+    texts = ["", "x", " ".join(["long"] * 40_000), "one", "one two", "a b c d e f", "a b c a b c a b c", "A  B\tC d", *[" ".join(map(str, range(k, k + 90))) for k in range(40)]]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    draws = permutations(16)
-    for r in N.minhash_signature(df, "t", "id", 16).collect():
+    draws, weights = permutations(16), word_weights()
+
+    def base(text):
+        return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+    for r in N.minhash_signature(df.repartition(2), "t", "id", 16).collect():
         words = texts[r.id].lower().split()
-        grams = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) > 2 else {" ".join(words)}
-        hashes = [int(hashlib.md5(g.encode()).hexdigest()[:8], 16) for g in grams]
+        if len(words) < 3:
+            hashes = [base(" ".join(words))]
+        else:
+            hashes = [sum(base(w) * c for w, c in zip(words[i:], weights)) % MERSENNE_31 for i in range(len(words) - 2)]
         assert r.signature == [min((a * h + b) % MERSENNE_31 for h in hashes) for a, b in draws]
 
 
