@@ -18,18 +18,20 @@ SPLITS = ["train", "val", "test"]
 def seeded_cluster_order(clustered: DataFrame, seed: int = 42) -> DataFrame:
     """(cluster_id, size, key, position): clusters in seeded order, positions from 0.
 
-    Keys are uniform md5 values, so rows are ranked inside the groups of their leading digits (a bounded number of even
-    groups) and shifted by the counts of the groups before.
+    Keys are uniform md5 values, so rows are ranked inside the 65,536 even groups of their four leading digits and shifted
+    by the counts of the groups before: those with the same two digits by a running sum, the others by their totals.
     """
     sizes = cluster_sizes(clustered).withColumn("key", order_key(seed, F.col("cluster_id")))
-    headed = sizes.withColumn("head", F.substring("key", 1, 3))
-    # At most 4,096 groups, so their counts fit one row.
-    counts = headed.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
-    listed = counts.agg(F.collect_list(F.struct("head", "n")).alias("groups")).scalar()
-    before = F.aggregate(
-        "groups", F.lit(0).cast("bigint"), lambda acc, g: acc + F.when(g["head"] < F.col("head"), g["n"]).otherwise(0)
+    headed = sizes.withColumn("head", F.substring("key", 1, 4))
+    counts = headed.groupBy("head").agg(F.count(F.lit(1)).alias("n")).withColumn("lead", F.substring("head", 1, 2))
+    # At most 256 totals, which fit one row.
+    totals = counts.groupBy("lead").agg(F.sum("n").alias("n"))
+    listed = totals.agg(F.collect_list(F.struct("lead", "n")).alias("totals")).scalar()
+    earlier = F.aggregate(
+        "totals", F.lit(0).cast("bigint"), lambda acc, t: acc + F.when(t["lead"] < F.col("lead"), t["n"]).otherwise(0)
     )
-    offsets = counts.withColumn("groups", listed).select("head", before.alias("offset"))
+    near = F.sum("n").over(Window.partitionBy("lead").orderBy("head")) - F.col("n")
+    offsets = counts.withColumn("totals", listed).select("head", (earlier + near).alias("offset"))
     inside = F.row_number().over(Window.partitionBy("head").orderBy("key", "cluster_id")) - 1
     ranked = headed.withColumn("inside", inside).join(F.broadcast(offsets), "head")
     return ranked.select("cluster_id", "size", "key", (F.col("offset") + F.col("inside")).alias("position"))
