@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstrata.functions.slots import has_slot, slot_names
+from quillstrata.functions.slots import slot_names
 from quillstrata.functions.text import char_count, pre_token_count, word_count
+from quillstrata.session import cut_lineage
 
 STATS = ["min", "p25", "median", "mean", "p95", "p99", "max"]
 
@@ -196,9 +197,11 @@ def _digest(*columns: str) -> Column:
 
 def dedup_stats(df: DataFrame, instruction_col: str = "instruction", response_col: str = "response") -> DataFrame:
     """One row: total, distinct instructions, exact duplicates, rate, distinct pairs, duplicate pairs."""
-    pairs = df.groupBy(_digest(instruction_col).alias("i"), _digest(response_col).alias("r")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return _dedup(df.select(_digest(instruction_col).alias("i"), _digest(response_col).alias("r")))
+
+
+def _dedup(digests: DataFrame) -> DataFrame:
+    pairs = digests.groupBy("i", "r").agg(F.count(F.lit(1)).alias("n"))
     per_instruction = pairs.groupBy("i").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
     total, unique, unique_pairs = (
         F.coalesce(F.sum("n"), F.lit(0)),
@@ -224,31 +227,69 @@ def exact_duplicates(df: DataFrame, text_col: str, key: str) -> DataFrame:
     )
 
 
+def _slots_per_side(df: DataFrame, instruction_col: str, response_col: str) -> DataFrame:
+    return df.select(
+        slot_names(F.col(instruction_col)).alias("instruction_slots"), slot_names(F.col(response_col)).alias("response_slots")
+    )
+
+
 def placeholder_stats(
     df: DataFrame, instruction_col: str = "instruction", response_col: str = "response"
 ) -> DataFrame:
-    """One row: rows with a slot per side, their shares, and the sorted slot names of both sides."""
-    names = placeholder_frequency(df, instruction_col, response_col)
-    listed = names.agg(F.sort_array(F.collect_set("name")).alias("names")).scalar()
+    """One row: rows with a slot per side, their shares, and the sorted slot names of both sides.
+
+    The names are a report field and make one row; :func:`placeholder_frequency` has them as a table.
+    """
+    return _slot_stats(_slots_per_side(df, instruction_col, response_col))
+
+
+def placeholder_frequency(
+    df: DataFrame, instruction_col: str = "instruction", response_col: str = "response"
+) -> DataFrame:
+    """(name, occurrences) of every slot over both texts."""
+    return _slot_frequency(_slots_per_side(df, instruction_col, response_col))
+
+
+def _slot_frequency(sides: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    both = F.concat(F.coalesce("instruction_slots", none), F.coalesce("response_slots", none))
+    return sides.select(F.explode(both).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+def _slot_stats(sides: DataFrame) -> DataFrame:
+    names = _slot_frequency(sides).agg(F.sort_array(F.collect_list("name")).alias("names")).scalar()
     total = F.count(F.lit(1))
-    left, right = F.count_if(has_slot(F.col(instruction_col))), F.count_if(has_slot(F.col(response_col)))
-    return df.agg(
+    left, right = F.count_if(F.size("instruction_slots") > 0), F.count_if(F.size("response_slots") > 0)
+    return sides.agg(
         left.alias("instruction_count"),
         percent(left, total).alias("instruction_percentage"),
         right.alias("response_count"),
         percent(right, total).alias("response_percentage"),
-    ).withColumn("unique_placeholders", listed)
+    ).withColumn("unique_placeholders", names)
 
 
-def placeholder_frequency(
-    df: DataFrame, instruction_col: str = "instruction", response_col: str = "response"
-) -> DataFrame:
-    """(name, occurrences) of every slot over both texts."""
-    both = F.concat(
-        F.coalesce(slot_names(F.col(instruction_col)), F.array().cast("array<string>")),
-        F.coalesce(slot_names(F.col(response_col)), F.array().cast("array<string>")),
+def profile_facts(df: DataFrame, tokenizer: Callable[[Column], Column] = pre_token_count) -> DataFrame:
+    """What the profile needs of each row: labels, counts, slot names and digests, but no text."""
+    instruction, response = F.col("instruction"), F.col("response")
+    counted = df.select(
+        "category",
+        "intent",
+        char_count(instruction).alias("instruction_chars"),
+        word_count(instruction).alias("instruction_words"),
+        char_count(response).alias("response_chars"),
+        word_count(response).alias("response_words"),
+        tokenizer(instruction).alias("instruction_tokens"),
+        tokenizer(response).alias("response_tokens"),
+        slot_names(instruction).alias("instruction_slots"),
+        slot_names(response).alias("response_slots"),
+        _digest("instruction").alias("i"),
+        _digest("response").alias("r"),
     )
-    return df.select(F.explode(both).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("occurrences"))
+    return counted.withColumn("total_tokens", F.col("instruction_tokens") + F.col("response_tokens"))
+
+
+def _count_stats(facts: DataFrame, metrics: list[str]) -> DataFrame:
+    return zero_filled(percentile_stats(_long(facts, {m: F.col(m) for m in metrics})), metrics)
 
 
 def _section(df: DataFrame, section: str, metric: Column, label: Column, value: Column) -> DataFrame:
@@ -269,29 +310,22 @@ def _unpivot(df: DataFrame, section: str, label: Column, columns: list[str]) ->
 
 
 def full_profile(df: DataFrame, tokenizer: Callable[[Column], Column] = pre_token_count) -> DataFrame:
-    """All profile numbers as one long table (section, metric, label, value)."""
+    """All profile numbers as one long table (section, metric, label, value).
+
+    The texts are read once, for the narrow facts; every aggregate runs over those.
+    """
+    facts = cut_lineage(profile_facts(df, tokenizer))
+    nothing = F.lit(None).cast("string")
     parts = []
     for column, section in [("category", "categories"), ("intent", "intents")]:
-        parts.append(_unpivot(class_distribution(df, column), section, F.col("label"), ["count", "percentage"]))
-    # One pass serves lengths and tokens alike.
-    parts.append(
-        _unpivot(
-            zero_filled(
-                percentile_stats(length_values(df).unionByName(token_values(df, tokenizer))),
-                LENGTH_METRICS + TOKEN_METRICS,
-            ),
-            "lengths",
-            F.col("metric"),
-            STATS,
-        )
-    )
-    slots = placeholder_stats(df)
+        parts.append(_unpivot(class_distribution(facts, column), section, F.col("label"), ["count", "percentage"]))
+    parts.append(_unpivot(_count_stats(facts, LENGTH_METRICS + TOKEN_METRICS), "lengths", F.col("metric"), STATS))
     counts = ["instruction_count", "instruction_percentage", "response_count", "response_percentage"]
-    parts.append(_unpivot(slots, "placeholders", F.lit(None).cast("string"), counts))
-    names = placeholder_frequency(df)
+    parts.append(_unpivot(_slot_stats(facts), "placeholders", nothing, counts))
+    names = _slot_frequency(facts)
     parts.append(_section(names, "placeholders", F.lit("occurrences"), F.col("name"), F.col("occurrences")))
-    duplicates = dedup_stats(df)
-    parts.append(_unpivot(duplicates, "duplicates", F.lit(None).cast("string"), duplicates.columns))
+    duplicates = _dedup(facts)
+    parts.append(_unpivot(duplicates, "duplicates", nothing, duplicates.columns))
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
@@ -300,10 +334,11 @@ def full_profile(df: DataFrame, tokenizer: Callable[[Column], Column] = pre_toke
 
 def profile_report(df: DataFrame, tokenizer: Callable[[Column], Column] = pre_token_count) -> DataFrame:
     """The nested one-row report: totals, label shares, length and token maps, slots, duplicates."""
+    facts = cut_lineage(profile_facts(df, tokenizer))
 
     def shares(column: str) -> Column:
         # One element per label; sorting on the negated count puts the most frequent first.
-        ranked = class_distribution(df, column).select((-F.col("count")).alias("rank"), "label", "count", "percentage")
+        ranked = class_distribution(facts, column).select((-F.col("count")).alias("rank"), "label", "count", "percentage")
         listed = ranked.agg(F.sort_array(F.collect_list(F.struct(*ranked.columns))).alias("rows"))
         plain = F.transform(
             "rows",
@@ -315,14 +350,14 @@ def profile_report(df: DataFrame, tokenizer: Callable[[Column], Column] = pre_to
         entries = F.collect_list(F.struct("metric", F.struct(*STATS).alias("stats")))
         return stats.agg(F.map_from_entries(entries).alias("m")).scalar()
 
-    duplicates = dedup_stats(df)
-    slots = placeholder_stats(df)
+    duplicates = _dedup(facts)
+    slots = _slot_stats(facts)
     return duplicates.select(
         F.col("total_rows").alias("total_records"),
         shares("category").alias("categories"),
         shares("intent").alias("intents"),
-        metric_map(length_stats(df)).alias("text_lengths"),
-        metric_map(token_length_stats(df, tokenizer)).alias("token_lengths"),
+        metric_map(_count_stats(facts, LENGTH_METRICS)).alias("text_lengths"),
+        metric_map(_count_stats(facts, TOKEN_METRICS)).alias("token_lengths"),
         slots.select(F.struct(*slots.columns).alias("s")).scalar().alias("placeholders"),
         F.struct(*duplicates.columns).alias("duplicates"),
     )
