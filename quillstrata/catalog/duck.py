@@ -356,6 +356,16 @@ links AS (SELECT doc_id AS a, anchor_id AS b FROM edges UNION ALL SELECT anchor_
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 clustered AS MATERIALIZED (SELECT a AS doc_id, min(b) AS cluster_id FROM reach GROUP BY a)"""
 
+# The sequential rule itself: in key order, a text no earlier seed is next to becomes a seed.
+STAR = f"""{band_ctes()},
+near AS MATERIALIZED (SELECT a.doc_id, list(DISTINCT b.doc_id) AS others FROM bands a JOIN bands b USING (bucket)
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id),
+line AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM near),
+walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS seeds UNION ALL
+  SELECT l.i, CASE WHEN list_has_any(l.others, w.seeds) THEN w.seeds ELSE list_append(w.seeds, l.doc_id) END
+  FROM walk w JOIN line l ON l.i = w.i + 1),
+done AS (SELECT arg_max(seeds, i) AS seeds FROM walk)"""
+
 
 def split_ctes(source: str, train: float, val: float) -> str:
     """The sequential greedy walk, one cluster per recursion step."""
@@ -505,6 +515,10 @@ ORACLE = {
   sided AS (SELECT doc_id, side, bucket FROM bands JOIN numbered USING (n))
   SELECT DISTINCT q.doc_id AS query_id, d.doc_id FROM sided q JOIN sided d USING (bucket) WHERE q.side = 'q' AND d.side = 'd'""",
     "cluster_ids": f"WITH RECURSIVE {CLUSTERS} SELECT doc_id, cluster_id FROM clustered",
+    "cluster_ids_star": f"""WITH RECURSIVE {STAR} SELECT d.doc_id,
+  CASE WHEN n.doc_id IS NULL OR list_contains(seeds, d.doc_id) THEN d.doc_id
+    ELSE list_min(list_intersect(n.others, seeds)) END AS cluster_id
+  FROM documents d LEFT JOIN near n USING (doc_id), done""",
     "cluster_sizes": f"""WITH RECURSIVE {CLUSTERS} SELECT size, CAST(count(*) AS BIGINT) AS clusters
   FROM (SELECT CAST(count(*) AS BIGINT) AS size FROM clustered GROUP BY cluster_id) GROUP BY size""",
     "seeded_cluster_order": f"""WITH RECURSIVE {CLUSTERS}, sizes AS (SELECT cluster_id, CAST(count(*) AS BIGINT) AS size FROM clustered GROUP BY 1)
