@@ -80,7 +80,7 @@ def language_groups(df: DataFrame, lang: str, least_share: float) -> DataFrame:
     return counts.where(F.col("grp").isNotNull() & (F.col("n") >= least)).select("grp")
 
 
-def common_words(texts: DataFrame, track: int = 20_000, keep: int = 100) -> dict[str, list[bytes]]:
+def common_words(texts: DataFrame, track: int = 20_000, keep: int = 25) -> dict[str, list[bytes]]:
     """Most frequent words of each group, all texts counted: group -> at most ``keep`` words.
 
     Each task keeps at most ``2 * track`` counters per group and lowers them together when there are more, so
@@ -143,9 +143,10 @@ def quality_verdicts(
     key: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    max_class_distance: float = 0.22,
-    max_word_distance: float = 0.62,
-    word_noise: float = 2.5,
+    max_class_distance: float = 0.09,
+    max_word_distance: float = 0.03,
+    class_noise: float = 1.25,
+    word_noise: float = 3.4,
     min_chars: int = 200,
     min_words: int = 50,
     min_reference_words: int = 10_000,
@@ -153,7 +154,8 @@ def quality_verdicts(
 ) -> DataFrame:
     """(key, counts, base_failed, class_distance, word_distance, kept), one row per input row.
 
-    ``word_noise / sqrt(n_words)`` is added to the word limit: a short text's histogram is far from any reference by chance.
+    ``class_noise`` and ``word_noise``, divided by the root of the number of words, are added to the two limits: a short text's
+    histogram is far from any reference by chance.
     """
     groups = F.broadcast(language_groups(df, lang, least_share))
     texts = df.select(F.col(key).alias("key"), utf8(F.col(text)).alias("utf8"), F.col(lang).alias("lang"))
@@ -193,38 +195,54 @@ def quality_verdicts(
     base = f"key {kind}, grp string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
     table = stored(map_blocks(texts, counts, f"{base}, classes array<bigint>, common array<bigint>"), "histograms")
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            both = np.hstack([_matrix(batch["classes"]), _matrix(batch["common"])])
-            names = np.array(batch["grp"].to_pylist(), dtype=object)
-            for group in set(names):
-                sums[group] = sums.get(group, 0) + both[names == group].sum(axis=0)
-        if sums:
-            yield pa.RecordBatch.from_pydict(
-                {"grp": list(sums), "sums": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))}
-            )
-
-    parts = table.mapInArrow(add_up, "grp string, sums array<bigint>")
-    flat = parts.select("grp", F.posexplode("sums")).groupBy("grp", "pos").agg(F.sum("col").alias("n"))
-    # At most 1 / least_share groups of a fixed number of bins.
-    references: dict[str, np.ndarray] = {}
-    for row in flat.collect():
-        references.setdefault(row["grp"], np.zeros(len(_CLASSES) + wide))[row["pos"]] = row["n"]
-
-    def judge(part: pa.RecordBatch) -> pa.RecordBatch:
+    def distances(part: pa.RecordBatch, references: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class distance, word distance, far from the reference) of each row."""
         classes, words = _matrix(part["classes"]), _matrix(part["common"])
         names = np.array(part["grp"].to_pylist(), dtype=object)
-        n_words, repeat = part["n_words"].to_numpy(), part["n_repeat_words"].to_numpy()
+        n_words = part["n_words"].to_numpy()
         by_class, by_word, known = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names), bool)
-        for group in set(names):
+        for group in set(names) & set(references):
             mine, reference = names == group, references[group]
             by_class[mine] = js_distance(classes[mine], reference[: len(_CLASSES)])
             by_word[mine] = js_distance(words[mine], reference[len(_CLASSES) :])
             known[mine] = reference[len(_CLASSES) :].sum() >= min_reference_words
+        chance = 1 / np.sqrt(np.maximum(n_words, 1))
+        far = (classes.sum(axis=1) >= min_chars) & (by_class > max_class_distance + class_noise * chance)
+        far |= (n_words >= min_words) & (by_word > max_word_distance + word_noise * chance)
+        return by_class, by_word, far & known
+
+    def reference_of(references: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Histogram sums of each group over the rows that neither the base rule nor the references given drop."""
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[str, np.ndarray] = {}
+            for batch in batches:
+                both = np.hstack([_matrix(batch["classes"]), _matrix(batch["common"])])
+                names = np.array(batch["grp"].to_pylist(), dtype=object)
+                near = ~distances(batch, references)[2]
+                for group in set(names):
+                    sums[group] = sums.get(group, 0) + both[(names == group) & near].sum(axis=0)
+            if sums:
+                yield pa.RecordBatch.from_pydict(
+                    {"grp": list(sums), "sums": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))}
+                )
+
+        usable = table.where((F.col("n_words") >= 50) & (F.col("n_repeat_words") * 2 <= F.col("n_words")))
+        parts = usable.mapInArrow(add_up, "grp string, sums array<bigint>")
+        flat = parts.select("grp", F.posexplode("sums")).groupBy("grp", "pos").agg(F.sum("col").alias("n"))
+        found: dict[str, np.ndarray] = {}
+        # At most 1 / least_share groups of a fixed number of bins.
+        for row in flat.collect():
+            found.setdefault(row["grp"], np.zeros(len(_CLASSES) + wide))[row["pos"]] = row["n"]
+        return found
+
+    # The second reference leaves out what is far from the first, so junk does not model itself.
+    references = reference_of(reference_of({}))
+
+    def judge(part: pa.RecordBatch) -> pa.RecordBatch:
+        by_class, by_word, far = distances(part, references)
+        n_words, repeat = part["n_words"].to_numpy(), part["n_repeat_words"].to_numpy()
         failed = (n_words < 50) | (100 * repeat > 50 * n_words)
-        far = known & (classes.sum(axis=1) >= min_chars) & (by_class > max_class_distance)
-        far |= known & (n_words >= min_words) & (by_word > max_word_distance + word_noise / np.sqrt(np.maximum(n_words, 1)))
         kept = {n: part[n] for n in ["key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]}
         return pa.RecordBatch.from_pydict(
             kept | {"base_failed": failed, "class_distance": by_class, "word_distance": by_word, "kept": ~failed & ~far}
