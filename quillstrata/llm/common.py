@@ -60,7 +60,3 @@ def text_key(text: Column) -> Column:
     """Tells rows of one doc_id with different texts apart. Null and empty differ from each other."""
     return F.coalesce(F.xxhash64(text), F.lit(0)) + F.when(text.isNull(), 1).otherwise(0)
 
-
-def same_row(left: DataFrame, right: DataFrame, key: str) -> Column:
-    """Null-safe join condition on the row key (``key``, ``text_key``)."""
-    return left[key].eqNullSafe(right[key]) & (left["text_key"] == right["text_key"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstrata.llm import divergence, langid, toxicity
+from quillstrata.llm import decontam, divergence, langid, simhash, toxicity
 from quillstrata.llm.common import remainder
 
 
@@ -36,10 +36,23 @@ def op8_language_id(spark, d):
     return found.select("doc_id", held, "lang_pred", "score", "rejected")
 
 
+def op7_simhash(spark, d):
+    found = simhash.near_duplicates(_table(spark, d, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_decontaminate(spark, d):
+    found = decontam.decontaminate(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+    names = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", names, "contaminated")
+
+
 QUERIES = {
     "op1_distribution_divergence": op1_distribution_divergence,
     "op3_toxicity": op3_toxicity,
+    "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLE: dict[str, str] = {}
