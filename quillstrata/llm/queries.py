@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstrata.llm import decontam, divergence, langid, simhash, toxicity
+from quillstrata.llm import decontam, divergence, langid, mixing, secrets, simhash, toxicity, warc
 from quillstrata.llm.common import remainder
 
 
@@ -36,6 +36,29 @@ def op8_language_id(spark, d):
     return found.select("doc_id", held, "lang_pred", "score", "rejected")
 
 
+def op4_blob_ledger(spark, d):
+    found = secrets.scan_secrets(_table(spark, d, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] <= 3)
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    digest = F.sha2(listed(base), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, listed(F.col("spans")).alias("spans"))
+
+
+def op5_mixing(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs, mixing.form_topic(F.col("text"))).select("doc_id", "mix.*")
+
+
+def op6_warc(spark, d):
+    return warc.archive_round_trip(_table(spark, d, "pages"))
+
+
 def op7_simhash(spark, d):
     found = simhash.near_duplicates(_table(spark, d, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -50,9 +73,27 @@ def op9_decontaminate(spark, d):
 QUERIES = {
     "op1_distribution_divergence": op1_distribution_divergence,
     "op3_toxicity": op3_toxicity,
+    "op4_blob_ledger": op4_blob_ledger,
+    "op5_mixing": op5_mixing,
+    "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_warc": """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), g AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+         max(page_id) OVER (PARTITION BY payload) AS top
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to,
+       true AS verified
+FROM g
+""",
+}
