@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstrata.llm import decontam, divergence, langid, mixing, secrets, simhash, toxicity, warc
+from quillstrata.llm import crf, decontam, divergence, langid, mixing, secrets, simhash, toxicity, warc
 from quillstrata.llm.common import remainder
 
 
@@ -16,6 +16,22 @@ def op1_distribution_divergence(spark, d):
     return divergence.quality_verdicts(_table(spark, d, "documents"))
 
 
+def _span_list(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _span_count(kind):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def op2_shape_field(spark, d):
+    found = crf.find_spans(_table(spark, d, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(list(crf.BASE_KINDS)))
+    counts = [_span_count(kind) for kind in crf.BASE_KINDS]
+    digest = F.sha2(_span_list(base), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, _span_list(F.col("spans")).alias("spans"))
+
+
 def op3_toxicity(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", "text")
     lexicon = toxicity.fit_lexicon(docs, _table(spark, d, "labels"), train=remainder(F.col("doc_id"), 4) != 2)
@@ -40,14 +56,9 @@ def op4_blob_ledger(spark, d):
     found = secrets.scan_secrets(_table(spark, d, "documents"))
     base = F.filter("spans", lambda s: s["rank"] <= 3)
 
-    def listed(spans):
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-
-    def count(kind):
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-
-    digest = F.sha2(listed(base), 256).alias("base_sha256")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, listed(F.col("spans")).alias("spans"))
+    counts = [_span_count(kind) for kind in ("assign", "access", "hex")]
+    digest = F.sha2(_span_list(base), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, _span_list(F.col("spans")).alias("spans"))
 
 
 def op5_mixing(spark, d):
@@ -72,6 +83,7 @@ def op9_decontaminate(spark, d):
 
 QUERIES = {
     "op1_distribution_divergence": op1_distribution_divergence,
+    "op2_shape_field": op2_shape_field,
     "op3_toxicity": op3_toxicity,
     "op4_blob_ledger": op4_blob_ledger,
     "op5_mixing": op5_mixing,
