@@ -90,13 +90,13 @@ def fit_language(
     text: str = "text",
     lang: str = "lang",
     train: Column | None = None,
-    max_rows: int = 6_000,
+    max_rows: int = 4_000,
     dim: int = 16,
     epochs: int = 8,
     rate: float = 0.5,
     reject_below: float = 0.6,
 ) -> LanguageModel | None:
-    """Fit on about ``max_rows`` labelled rows at most, taken by a hash of the key; None without a labelled row."""
+    """Fit in the driver on the packed counts of about ``max_rows`` labelled rows at most, taken by a hash of the key; None without a labelled row."""
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if train is not None:
         known = known.where(train)
@@ -108,20 +108,20 @@ def fit_language(
         for t in part["text"].to_pylist():
             counts = bucket_counts(t)
             hit = np.flatnonzero(counts)
-            at.append(hit.tolist())
-            weight.append((counts[hit] / max(counts.sum(), 1)).tolist())
-        arrays = {"at": pa.array(at, pa.list_(pa.int32())), "weight": pa.array(weight, pa.list_(pa.float64()))}
+            at.append(hit.astype(np.uint16).tobytes())
+            weight.append((counts[hit] / max(counts.sum(), 1)).astype(np.float32).tobytes())
+        arrays = {"at": pa.array(at, pa.binary()), "weight": pa.array(weight, pa.binary())}
         return pa.RecordBatch.from_pydict({"y": part["y"]} | arrays)
 
-    sampled = known.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("y"), F.xxhash64(key).alias("h"))
-    rows = map_blocks(sampled.select("y", "text"), sparse, "y string, at array<int>, weight array<double>").collect()
+    sampled = known.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("y"))
+    rows = map_blocks(sampled.select("y", "text"), sparse, "y string, at binary, weight binary").collect()
     if not rows:
         return None
     # The order of arrival depends on the partitioning; the content does not.
-    rows.sort(key=lambda r: (r["y"], len(r["at"]), r["at"][:20], r["weight"][:20]))
+    rows.sort(key=lambda r: (r["y"], r["at"], r["weight"]))
     names = sorted({r["y"] for r in rows})
     y = np.array([names.index(r["y"]) for r in rows])
-    x = [(np.array(r["at"], np.int64), np.array(r["weight"])) for r in rows]
+    x = [(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["weight"], np.float32)) for r in rows]
     held = np.arange(len(x)) % 5 == 4
     embed, out, bias = _train([v for v, h in zip(x, held) if not h], y[~held], len(names), dim, epochs, rate)
     table = embed @ out
