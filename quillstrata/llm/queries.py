@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstrata.llm import crf, decontam, divergence, langid, mixing, secrets, simhash, toxicity, warc
+from quillstrata.llm import crf, decontam, divergence, langid, mixing, secrets, simhash, substring, toxicity, warc
 from quillstrata.llm.common import remainder
 
 
@@ -81,6 +81,11 @@ def op9_decontaminate(spark, d):
     return found.select("doc_id", "n_words", "n_hit", "n_items", names, "contaminated")
 
 
+def op10_substring(spark, d):
+    found = substring.remove_repeats(_table(spark, d, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op1_distribution_divergence": op1_distribution_divergence,
     "op2_shape_field": op2_shape_field,
@@ -91,6 +96,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
+    "op10_substring": op10_substring,
 }
 
 ORACLE: dict[str, str] = {
