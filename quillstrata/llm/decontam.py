@@ -227,3 +227,11 @@ def decontaminate(
         names.alias("items"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("b.n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    bad = decontaminate(docs, items, key, text, **options).where("contaminated").select(F.col(key).alias("key"), "text_key").distinct()
+    d, b = docs.withColumn("_text_key", text_key(F.col(text))).alias("d"), stored(bad, "contaminated").alias("b")
+    same = F.col(f"d.{key}").eqNullSafe(F.col("b.key")) & (F.col("d._text_key") == F.col("b.text_key"))
+    return d.join(b, same, "left_anti").drop("_text_key")

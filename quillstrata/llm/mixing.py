@@ -6,7 +6,8 @@ documents are drawn by a hash of their key, so the draw is the same under any pa
 
 Cases: null margins are a value of their own, ``(none)``; null and empty texts have no tokens and are drawn with their cell's
 probability, 0 where no text of the cell has tokens; repeated rows are drawn alike; a target for a value that no row has is spread over the others; a value
-without a target gets none; an empty table gives no rows.
+without a target gets none; an empty table gives no rows. Other columns pass through;
+one named ``mix`` is replaced, and names that begin with ``_odds`` are reserved.
 """
 
 from __future__ import annotations
@@ -134,13 +135,13 @@ def mix(
     goals = targets or {m: tempered_targets(cells, m, exponent) for m in MARGINS}
     weighted, _ = rake(cells, goals)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    odds = stored(calibrate(weighted, fraction * total).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "probability"), "odds")
+    odds = stored(calibrate(weighted, fraction * total).select(*[F.col(m).alias(f"_odds_{m}") for m in MARGINS], F.col("probability").alias("_odds")), "odds")
     if odds.count() <= BROADCAST_CELLS:
         odds = F.broadcast(odds)
-    here = [F.col(f"mix.{m}") == F.col(f"_{m}") for m in MARGINS]
+    here = [F.col(f"mix.{m}") == F.col(f"_odds_{m}") for m in MARGINS]
     # 53 bits of the hash, as a number from 0 to 1.
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), text_key(F.col(text))), 11) / F.lit(float(1 << 53))
-    chance = F.coalesce("probability", F.lit(0.0))
+    chance = F.coalesce("_odds", F.lit(0.0))
     placed = facts.join(odds, here, "left").withColumn(
         "mix", F.col("mix").withField("probability", chance).withField("sampled", draw < chance)
     )

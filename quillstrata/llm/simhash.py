@@ -121,7 +121,10 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text_key, fingerprint bigint, component_id), one row per row."""
+    """(key, text_key, fingerprint bigint, component bigint, component_id), one row per row.
+
+    ``component`` is the smallest fingerprint of the component, ``component_id`` its smallest key.
+    """
     table = stored(fingerprints(df, key, text), "fingerprints")
     nodes = stored(table.groupBy("fingerprint").agg(F.min(key).alias("least")), "nodes")
     roots = connected_components(fingerprint_links(nodes)).select(F.col("id").alias("fingerprint"), "root")
@@ -129,5 +132,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    components = placed.join(named, "root").select("fingerprint", "component_id")
-    return table.join(components, "fingerprint", "left").select(key, "text_key", "fingerprint", "component_id")
+    components = placed.join(named, "root").select("fingerprint", F.col("root").alias("component"), "component_id")
+    return table.join(components, "fingerprint", "left").select(key, "text_key", "fingerprint", "component", "component_id")
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each component one row stays, with the smallest key."""
+    found = near_duplicates(df, key, text)
+    order = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), "text_key")
+    first = found.groupBy("component").agg(F.min(order).alias("first")).select("first.key", "first.text_key")
+    d, f = df.withColumn("_text_key", text_key(F.col(text))).alias("d"), stored(first, "survivors").alias("f")
+    kept = d.join(f, F.col(f"d.{key}").eqNullSafe(F.col("f.key")) & (F.col("d._text_key") == F.col("f.text_key")), "left_semi")
+    if found.groupBy(key, "text_key").count().where("count > 1").limit(1).count():
+        # Rows repeated with key and text: one of them.
+        kept = kept.dropDuplicates([key, "_text_key"])
+    return kept.drop("_text_key")
