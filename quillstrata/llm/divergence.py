@@ -145,7 +145,7 @@ def quality_verdicts(
     lang: str = "lang",
     max_class_distance: float = 0.09,
     max_word_distance: float = 0.03,
-    class_noise: float = 1.25,
+    class_noise: float = 1.5,
     word_noise: float = 3.4,
     min_chars: int = 200,
     min_words: int = 50,
