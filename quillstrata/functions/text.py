@@ -86,8 +86,9 @@ def clustering_text(text: Column) -> Column:
     return F.lower(normalize_text(F.coalesce(text, F.lit(""))))
 
 
-# Each word start looks ahead for three words, so one regex pass yields all overlapping shingles.
-_THREE_WORDS = r"(?<![^ ])(?=([^ ]+ [^ ]+ [^ ]+))"
+# Each word looks ahead for three words, so one regex pass yields all overlapping shingles. The match takes the whole word: an
+# empty one would be tried again inside a character of two UTF-16 units.
+_THREE_WORDS = r"(?<![^ ])(?=([^ ]+ [^ ]+ [^ ]+))[^ ]+"
 
 
 def word_shingles(text: Column) -> Column:
@@ -124,7 +125,8 @@ def char_ngrams_sql(column: str, low: int = 3, high: int = 5) -> str:
     find its start from the beginning of a UTF-8 string each time. Texts too short for a length have none of it.
     """
     clean = f"regexp_replace(lower(`{column}`), r'[{WS}]{{2,}}', ' ')"
-    grams = [f"regexp_extract_all(t, r'(?s)(?=(.{{{n}}}))', 1)" for n in range(low, high + 1)]
+    # The match takes one code point, so the next one starts behind it whatever its UTF-16 units.
+    grams = [f"regexp_extract_all(t, r'(?s)(?=(.{{{n}}})).', 1)" for n in range(low, high + 1)]
     return f"transform(array({clean}), t -> flatten(array({', '.join(grams)})))[0]"
 
 

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstrata.schema import MESSAGES_SCHEMA
 
 
-# Line breaks, quotes and outer blanks survive; an empty text is written as two quotes, a null as nothing.
+# Line breaks, quotes and outer blanks survive. Nulls are told by a flag column of their own, so any text may look like a marker.
 CSV_EXACT = {
     "escape": '"',
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
     "lineSep": "\n",
 }
+NULL_MARK = "\x00"
+NULL_FLAGS = "null_flags"
 
 
 def load_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -24,32 +26,34 @@ def load_records(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a freshly read table that has fewer splits than the cluster has slots.
+def ingest_raw(df: DataFrame, output_dir: str) -> dict[str, str]:
+    """Keep an untouched copy as Parquet and as CSV; returns the two paths.
 
-    For processor-heavy text work over a few large row groups. A large table already has more splits than slots
-    and is left as it is. Only for plain scans: counting the splits of a plan with shuffles would run it.
+    The source runs once: the CSV copy is made from the Parquet one. It has a last column of 0 and 1 per field, 1 for null.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, *keys)
-
-
-def ingest_raw(df: DataFrame, output_dir: str) -> dict[str, str]:
-    """Keep an untouched copy as Parquet and as CSV; returns the two paths."""
     paths = {"parquet": f"{output_dir}/raw_parquet", "csv": f"{output_dir}/raw_csv"}
     df.write.mode("overwrite").parquet(paths["parquet"])
-    df.write.mode("overwrite").options(header=True, **CSV_EXACT).csv(paths["csv"])
+    kept = df.sparkSession.read.schema(df.schema).parquet(paths["parquet"])
+    flags = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in kept.columns])
+    kept.withColumn(NULL_FLAGS, flags).write.mode("overwrite").options(header=True, **CSV_EXACT).csv(paths["csv"])
     return paths
 
 
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read the CSV copy back without loss.
 
-    A bare field takes the null marker on its way in; with a marker no text has, an empty text is not taken for null.
+    A text field that is read as null was the null marker itself unless its flag says null.
     """
-    return spark.read.schema(schema).options(header=True, multiLine=True, nullValue="\x00", **CSV_EXACT).csv(path)
+    flagged = T.StructType([*schema.fields, T.StructField(NULL_FLAGS, T.StringType())])
+    rows = spark.read.schema(flagged).options(header=True, multiLine=True, nullValue=NULL_MARK, **CSV_EXACT).csv(path)
+
+    def value(place: int, field: T.StructField):
+        there = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType):
+            there = F.coalesce(there, F.lit(NULL_MARK))
+        return F.when(F.substring(NULL_FLAGS, place + 1, 1) == "0", there).alias(field.name)
+
+    return rows.select(*[value(i, f) for i, f in enumerate(schema.fields)])
 
 
 def read_sft_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -57,17 +61,26 @@ def read_sft_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MESSAGES_SCHEMA).json(path)
 
 
+# Neighbouring turns that one running order covers.
+TURN_BLOCK = 4096
+
+
 def conversation_pairs(conversations: DataFrame) -> DataFrame:
-    """User turns with the assistant turn that directly follows, keyed by conversation and turn."""
-    following = conversations.select(
-        "conv_id",
-        (F.col("turn") - 1).alias("turn"),
-        F.col("role").alias("next_role"),
-        F.col("text").alias("response"),
-    ).where(F.col("next_role") == "assistant")
-    asked = conversations.where(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("instruction")
-    )
-    return asked.join(following.drop("next_role"), ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"), "instruction", "response"
+    """User turns with the assistant turn that comes next, keyed by the text "conversation:turn".
+
+    Turns may have gaps. Order is taken inside blocks of ``TURN_BLOCK`` turn numbers, and among the first turns of the blocks, so no
+    task orders a whole conversation.
+    """
+    block, ids = F.floor(F.col("turn") / TURN_BLOCK).alias("block"), ["conv_id", "block"]
+    turns = conversations.select("conv_id", "turn", block, F.struct("role", "text").alias("said"))
+    inside = Window.partitionBy(*ids).orderBy("turn")
+    near = turns.withColumn("next", F.lead("said").over(inside))
+    firsts = turns.groupBy(*ids).agg(F.min_by("said", "turn").alias("first"))
+    later = firsts.select(*ids, F.lead("first").over(Window.partitionBy("conv_id").orderBy("block")).alias("later"))
+    joined = near.join(later, ids).select("conv_id", "turn", "said", F.coalesce("next", "later").alias("next"))
+    asked = joined.where((F.col("said.role") == "user") & (F.col("next.role") == "assistant"))
+    return asked.select(
+        F.concat_ws(":", "conv_id", "turn").alias("record_id"),
+        F.col("said.text").alias("instruction"),
+        F.col("next.text").alias("response"),
     )

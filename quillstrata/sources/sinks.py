@@ -30,6 +30,8 @@ def write_quarantine(quarantined: DataFrame, path: str) -> None:
     quarantined.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_profile(report: DataFrame, path: str) -> None:
-    """The one-row nested report as JSON."""
-    report.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_profile(report: DataFrame, path: str, tables: dict[str, DataFrame] | None = None) -> None:
+    """The one-row nested report as JSON under ``path``/report, and each table beside it as JSON lines."""
+    report.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/report")
+    for name, table in (tables or {}).items():
+        table.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}")

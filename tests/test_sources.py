@@ -14,6 +14,7 @@ TRICKY = [
     (2, "", None, " lead", "trail ", '""'),
     (3, None, "", "\ttab", "\\", '\\"'),
     (4, "#", "a\rb", "\r", "'", "N/A\n"),
+    (5, "\x00", None, "\x00\x00", "", "null"),
 ]
 
 
@@ -37,15 +38,54 @@ def test_checksums_and_manifest(spark, records, tmp_path):
     files = provenance.file_sha256(spark, str(tmp_path / "f.bin"))
     row = files.first()
     assert (row.sha256, row.size_bytes) == (hashlib.sha256(data).hexdigest(), len(data))
-    manifest = provenance.dataset_manifest(records, files, "name", "url", "rev", "lic")
-    provenance.write_manifest(manifest, str(tmp_path / "m"))
-    text = "".join(p.read_text() for p in Path(tmp_path / "m").glob("*.json"))
+    listed = provenance.artifact_table(files, str(tmp_path))
+    manifest = provenance.dataset_manifest(records, listed, "name", "url", "rev", "lic")
+    provenance.write_manifest(manifest, str(tmp_path / "m"), listed)
+    text = "".join(p.read_text() for p in Path(tmp_path / "m" / "manifest").glob("*.json"))
+    size = len(data)
     data = json.loads(text)
     assert data["row_count"] == 6 and data["column_count"] == 6 and data["columns"][0] == "record_id"
-    assert data["artifacts"]["f.bin"]["sha256"] == row.sha256
+    assert (data["file_count"], data["total_bytes"]) == (1, size)
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "m" / "artifacts")).select("artifact", "sha256").collect()] == [("f.bin", row.sha256)]
     assert data["download_timestamp_utc"].endswith("+00:00")
 
 
+def test_digest_reads_in_chunks(spark, tmp_path):
+    contents = {"a": b"y", "b": b"x" * 10, "c": bytes(range(256)) * 40}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    rows = provenance.file_sha256(spark, str(tmp_path), chunk_bytes=7).collect()
+    assert {r.path.rsplit("/", 1)[1]: (r.sha256, r.size_bytes) for r in rows} == {
+        n: (hashlib.sha256(d).hexdigest(), len(d)) for n, d in contents.items()
+    }
+
+
+def test_manifest_of_a_split_folder(spark, tmp_path):
+    df = spark.createDataFrame([(i, ["train", "val", "test"][i % 3]) for i in range(9)], "id long, split string").coalesce(1)
+    path = str(tmp_path / "s")
+    sinks.write_split_parquet(df, path)
+    for root in (path, f"file://{path}", f"{path}/"):
+        files = provenance.artifact_table(provenance.file_sha256(spark, path), root)
+        names = {r.artifact for r in files.collect()}
+        kept = {n for n in names if n.endswith(".parquet")}
+        assert {n.split("/")[0] for n in kept} == {"split=train", "split=val", "split=test"}
+        assert len({n.split("/")[1] for n in kept}) == 1
+    manifest = provenance.dataset_manifest(df, files, "n", "u", "r", "l")
+    assert manifest.first().file_count == len(names)
+    assert "collect_list" not in manifest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_take_the_next_turn_in_order(spark, monkeypatch):
+    monkeypatch.setattr(R, "TURN_BLOCK", 4)
+    rows = [(1, 0, "user", "q0"), (1, 5, "assistant", "a5"), (1, 1000, "user", "q1000"), (1, 1001, "assistant", "a1001"), (2, 0, "user", "p0"), (2, 1, "user", "p1"), (2, 9, "assistant", None), (3, 0, "user", "end")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(tuple(r) for r in R.conversation_pairs(turns).collect())
+    assert got == [("1:0", "q0", "a5"), ("1:1000", "q1000", "a1001"), ("2:1", "p1", None)]
+    many = [(c, t, ["user", "assistant"][t % 2], str(t)) for c in range(3) for t in range(2200)]
+    keys = [r.record_id for r in R.conversation_pairs(spark.createDataFrame(many, turns.schema)).collect()]
+    assert len(keys) == len(set(keys)) == 3300
+
+
 def test_fingerprint_ignores_layout_only(spark, records):
     a = provenance.dataset_fingerprint(records).first()
     assert a == provenance.dataset_fingerprint(records.repartition(5)).first()

@@ -8,7 +8,7 @@ from quillstrata.functions import text as X
 from quillstrata.operators.projection import head_n, normalize_records, null_counts
 
 ALPHABET = ["a", "B", "e", "́", "̧", "é", "ḍ", "̇", " ", "\t", "\n", " ", "\x1f", "\x85",
-            " ", "　", "7", "_", "-", "ß", "Å", "ᄀ", "ᅡ", "क", "़", "."]
+            " ", "　", "7", "_", "-", "ß", "Å", "ᄀ", "ᅡ", "क", "़", ".", "\U0001f600", "\U0001d54f"]
 
 
 def python_normalize(text):
@@ -18,7 +18,8 @@ def python_normalize(text):
 def samples(n=400, longest=30):
     rng = random.Random(5)
     made = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(longest))) for _ in range(n)]
-    return ["", " ", "one", "one two", "one two three", "a a a a a", *made]
+    signs = ["\U0001f600", "ab\U0001f600cd", "\U0001f600a b c", "one \U0001f600two three four", "one two three \U0001f600"]
+    return ["", " ", "one", "one two", "one two three", "a a a a a", *signs, *made]
 
 
 def table(spark):
