@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstrata.functions.hashing import order_key
 from quillstrata.operators.neardup import DEFAULT_PERMUTATIONS, DEFAULT_THRESHOLD, lsh_bands
 from quillstrata.plans.skew import HEAVY_ROWS, lookup
 from quillstrata.session import cut_lineage
@@ -23,7 +24,7 @@ def bucket_edges(bands: DataFrame, key: str, parts: int = BUCKET_PARTS) -> DataF
     spread over ``parts`` tasks, and the second group has at most ``parts`` members.
     """
     part = F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
-    dealt = bands.select(F.col(key).alias("src"), "bucket", part.alias("part"))
+    dealt = shared_bands(bands, key).select(F.col(key).alias("src"), "bucket", part.alias("part"))
     smallest_first = Window.partitionBy("bucket", "part").orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
     heads = dealt.withColumn("head", F.first("src").over(smallest_first))
     # Heads meet in part -1; the others keep their sub-group and are not touched again.
@@ -34,16 +35,23 @@ def bucket_edges(bands: DataFrame, key: str, parts: int = BUCKET_PARTS) -> DataF
     return linked.select("src", dst.alias("dst")).where(F.col("dst") < F.col("src")).distinct()
 
 
-def connected_components(edges: DataFrame, heavy_rows: int = HEAVY_ROWS, max_rounds: int = 200) -> DataFrame:
+def shared_bands(bands: DataFrame, key: str) -> DataFrame:
+    """The rows of buckets with more than one member; most buckets have one and need no ordering."""
+    counted = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    # A large bucket is one row on this side; adaptive execution splits the other.
+    return bands.select(key, "bucket").join(counted.select("bucket"), "bucket", "left_semi")
+
+
+def connected_components(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(id, root) for every node with an edge to a smaller one; roots themselves are left out.
 
     Each round every node points to its smallest neighbour's own smallest neighbour, and its other smaller neighbours
     are linked to that smallest one. Both steps keep each component connected and lower the labels, so it ends
-    with one edge per node, straight to the smallest id of its component.
+    with one edge per node, straight to the smallest id of its component. A round that moves nothing is the last: labels only fall.
     """
     edges = cut_lineage(edges.select("src", "dst"))
     total = edges.count()
-    for _ in range(max_rounds):
+    while True:
         if total == 0:
             return edges.select(F.col("src").alias("id"), F.col("dst").alias("root"))
         low = edges.groupBy("src").agg(F.min("dst").alias("low"))
@@ -61,20 +69,27 @@ def connected_components(edges: DataFrame, heavy_rows: int = HEAVY_ROWS, max_rou
         edges = edges.select("src", "dst")
         if moved == 0:
             return edges.select(F.col("src").alias("id"), F.col("dst").alias("root"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def star_clusters(bands: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS, max_rounds: int = 10_000) -> DataFrame:
-    """(id, root): greedy seeds in key order, each taking its still unassigned bucket neighbours.
+def star_clusters(bands: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS, seed: int | None = None) -> DataFrame:
+    """(id, root): greedy seeds in a fixed order, each taking its still unassigned bucket neighbours.
 
-    A text is a seed iff no smaller seed shares a bucket with it. Rounds over the undecided texts: the
-    smallest of all its buckets becomes a seed, whoever shares a bucket with a seed is covered. At the end each covered
-    text goes to its smallest seed. Texts alone in all their buckets do not appear; they are their own cluster.
+    A text is a seed iff no earlier seed shares a bucket with it. Rounds over the undecided texts: the
+    earliest of all its buckets becomes a seed, whoever shares a bucket with a seed is covered. At the end each covered
+    text goes to its earliest seed. Texts alone in all their buckets do not appear; they are their own cluster.
+
+    ``seed`` None takes texts in key order, the sequential rule, whose rounds grow with the longest chain of rising keys. A number
+    takes them in the order of ``order_key(seed, key)``: rounds then grow with the logarithm of the table.
     """
+    if seed is not None:
+        # The order key leads and the key parts its ties; the smallest such pair is the earliest text.
+        ordered = bands.select(F.struct(order_key(seed, F.col(key)).alias("o"), F.col(key).alias("k")).alias("id"), "bucket")
+        found = star_clusters(ordered, "id", heavy_rows)
+        return found.select(F.col("id.k").alias("id"), F.col("root.k").alias("root"))
     spread_on = F.col(key).alias("id")
     all_rows = bands.select(spread_on, "bucket")
     shared = (
@@ -85,9 +100,7 @@ def star_clusters(bands: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS, max_
     )
     total = members.count()
     live, live_total, seeds = members, total, []
-    for _ in range(max_rounds):
-        if live_total == 0:
-            break
+    while live_total:
         lows = live.groupBy("bucket").agg(F.min("id").alias("low"))
         seen = lookup(live, lows, ["bucket"], "id", live_total, heavy_rows)
         new_seeds = cut_lineage(
@@ -105,8 +118,6 @@ def star_clusters(bands: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS, max_
         )
         live = cut_lineage(live.join(covered.where("covered"), "id", "left_anti"))
         live_total = live.count()
-    else:
-        raise RuntimeError(f"seeds did not settle in {max_rounds} rounds")
     if not seeds:
         return members.select("id", F.col("id").alias("root")).where(F.lit(False))
     bucket_seed = members.join(_union(seeds), "id", "left_semi").groupBy("bucket").agg(F.min("id").alias("seed"))
@@ -121,19 +132,20 @@ def cluster_ids(
     threshold: float = DEFAULT_THRESHOLD,
     num_perm: int = DEFAULT_PERMUTATIONS,
     mode: str = "components",
+    star_seed: int | None = None,
 ) -> DataFrame:
-    """Add ``cluster_id``, the smallest key of the row's cluster.
+    """Add ``cluster_id``, the smallest key of the row's cluster (the seed's key for ``star``).
 
     ``components`` merges everything that is connected, so that no near-duplicate pair is ever parted; ``star`` assigns
-    greedily in key order.
+    greedily, in key order or in the order of ``star_seed``.
     """
     if mode not in ("components", "star"):
         raise ValueError(f"unknown mode: {mode}")
     bands = lsh_bands(df, text_col, key, threshold, num_perm)
     if mode == "components":
-        roots = connected_components(bucket_edges(bands, key))
+        roots = connected_components(bucket_edges(cut_lineage(bands), key))
     else:
-        roots = star_clusters(cut_lineage(bands), key)
+        roots = star_clusters(cut_lineage(bands), key, seed=star_seed)
     roots = roots.select(F.col("id").alias(key), "root")
     # One row per key on both sides: no key can be heavy.
     return df.join(roots, key, "left").withColumn("cluster_id", F.coalesce("root", key)).drop("root")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstrata.functions.hashing import band_shape, minhash, shingle_sources
 from quillstrata.functions.text import clustering_text, word_shingles
 from quillstrata.plans.skew import lookup
+from quillstrata.session import cut_lineage
 
 DEFAULT_THRESHOLD = 0.80
 DEFAULT_PERMUTATIONS = 64
@@ -73,22 +74,58 @@ def near_dup_candidates(bands: DataFrame, key: str, heavy_rows: int | None = Non
     return linked.where(F.col("anchor_id") < F.col(key)).select(key, "anchor_id").distinct()
 
 
+def _signature_groups(df: DataFrame, text: str, key: str, num_perm: int, name: str) -> DataFrame:
+    """(first, size, signature): equal signatures as one row with the smallest key, so copies cost nothing further on."""
+    signed = minhash_signature(df, text, key, num_perm)
+    return signed.groupBy("signature").agg(F.min(key).alias(f"{name}_first"), F.count(F.lit(1)).alias(f"{name}_size"))
+
+
 def near_dup_lookup(
     queries: DataFrame,
     query_text: str,
     query_key: str,
-    corpus_bands: DataFrame,
+    corpus: DataFrame,
+    corpus_text: str,
     corpus_key: str,
     threshold: float = DEFAULT_THRESHOLD,
     num_perm: int = DEFAULT_PERMUTATIONS,
 ) -> DataFrame:
-    """(query_key, corpus_key) of every corpus text in a bucket of a query text.
+    """(query_first, query_size, corpus_first, corpus_size): groups of equal signatures on both sides that share a bucket.
 
-    The query bands are broadcast after their number has been checked; beyond that both sides are shuffled on the
-    bucket and adaptive execution splits an uneven one.
+    A group is named by its smallest key and stands for ``size`` rows, so a bucket full of copies asked for by many copies is one row.
+    The query bands are stored once; they are broadcast after their number has been checked, beyond that both sides are
+    shuffled on the bucket and adaptive execution splits an uneven one.
     """
-    asked = lsh_bands(queries, query_text, query_key, threshold, num_perm).select(query_key, "bucket")
-    if asked.limit(BROADCAST_BANDS + 1).count() <= BROADCAST_BANDS:
+    bands, rows = band_shape(threshold, num_perm)
+
+    def banded(df: DataFrame, text: str, key: str, name: str) -> DataFrame:
+        groups = _signature_groups(df, text, key, num_perm, name)
+        out = groups.select(F.struct(f"{name}_first", f"{name}_size").alias(name), "signature")
+        return band_table(out, name, bands, rows).select(name, "bucket")
+
+    asked = cut_lineage(banded(queries, query_text, query_key, "query"))
+    held = banded(corpus, corpus_text, corpus_key, "corpus")
+    if asked.count() <= BROADCAST_BANDS:
         asked = F.broadcast(asked)
-    found = corpus_bands.select(corpus_key, "bucket").join(asked, "bucket")
-    return found.select(query_key, corpus_key).distinct()
+    return held.join(asked, "bucket").select("query.*", "corpus.*").distinct()
+
+
+def jaccard_verify(
+    links: DataFrame, df: DataFrame, text_col: str, key: str, other: str = "anchor_id", threshold: float = DEFAULT_THRESHOLD
+) -> DataFrame:
+    """The rows of ``links`` (key, other) with ``shared``, ``total`` and ``jaccard`` of their shingle sets, at the threshold or above.
+
+    Shingle sets are joined to each end by key, as one array per text: the table of shingles is never shuffled by shingle, and
+    links are stars, so there is about one per text. An anchor of many texts is one row on the side looked up. Sets hold 64-bit hashes.
+    """
+    sets = cut_lineage(df.select(F.col(key).alias("_id"), F.transform(word_shingles(F.col(text_col)), lambda s: F.xxhash64(s)).alias("_set")))
+    total = links.count()
+    first = links.join(sets.select(F.col("_id").alias(key), F.col("_set").alias("_left")), key)
+    both = lookup(first, sets.select(F.col("_id").alias(other), F.col("_set").alias("_right")), [other], key, total)
+    shared = F.size(F.array_intersect("_left", "_right")).cast("bigint")
+    whole = (F.size("_left") + F.size("_right")).cast("bigint") - F.col("shared")
+    scored = both.withColumn("shared", shared).withColumn("total", whole)
+    kept = scored.withColumn("jaccard", F.round(F.col("shared") / F.col("total"), 6)).where(
+        F.col("shared") >= F.col("total") * F.lit(threshold)
+    )
+    return kept.select(*links.columns, "shared", "total", "jaccard")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,52 +25,56 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
 def class_distribution(df: DataFrame, label_col: str, digits: int = 2) -> DataFrame:
     """(label, count, percentage), most frequent first, ties by label."""
     counts = df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    # The total of the counts: the same shuffle serves both, the table is read once.
+    total = counts.agg(F.sum("count").alias("n")).scalar()
     return counts.withColumn("percentage", percent(F.col("count"), total, digits)).orderBy(
         F.desc("count"), "label"
     )
 
 
-# Neighbouring values that one running count covers.
-VALUE_RANGE = 65_536
+# Bits of one level of the value tree: a running count covers at most 2^LEVEL_BITS rows, whatever the values.
+LEVEL_BITS = 12
 QUANTILES = {"p25": 0.25, "median": 0.5, "p95": 0.95, "p99": 0.99}
 
 
+def _ranked(counted: DataFrame, metric_col: str, value_col: str, span: int) -> DataFrame:
+    """``counted`` (metric, value, n, min) with ``upto``, the number of rows up to the value.
+
+    Values above the metric's minimum are read as digits of LEVEL_BITS bits. Each level counts what lies before a digit among its
+    siblings, so a window holds siblings only; the counts of all levels add up to the rank.
+    """
+    levels = max(1, -(-span.bit_length() // LEVEL_BITS))
+    offset = (F.col(value_col) - F.col("min")).cast("bigint")
+    rows = counted.withColumn("path", offset)
+    before = None
+    for level in range(levels - 1, -1, -1):
+        shift = LEVEL_BITS * level
+        at, parent = F.shiftright("path", shift), F.shiftright("path", shift + LEVEL_BITS) if shift + LEVEL_BITS < 64 else F.lit(0)
+        sums = rows.groupBy(metric_col, at.alias("at"), parent.cast("bigint").alias("parent")).agg(F.sum("n").alias("n"))
+        siblings = Window.partitionBy(metric_col, "parent").orderBy("at")
+        placed = sums.withColumn("before", F.sum("n").over(siblings) - F.col("n"))
+        if before is not None:
+            above = before.select(metric_col, F.col("at").alias("parent"), F.col("before").alias("above"))
+            placed = placed.join(above, [metric_col, "parent"]).withColumn("before", F.col("before") + F.col("above"))
+        before = placed.select(metric_col, "at", "before")
+    found = before.withColumnRenamed("at", "path")
+    return rows.join(found, [metric_col, "path"]).withColumn("upto", F.col("before") + F.col("n"))
+
+
 def percentile_stats(values: DataFrame, metric_col: str = "metric", value_col: str = "value") -> DataFrame:
     """min ... max per metric of a long (metric, value) table of whole numbers.
 
-    Equal values are counted first (on the map side). Ranks come from two running counts, one over ranges of
-    ``VALUE_RANGE`` neighbouring values and one inside each range, so no task ranks all values of a metric. Quantiles
-    interpolate linearly between neighbouring ranks, from the nearer one, and are cut to integers.
+    Equal values are counted first (on the map side) and stored; exact ranks come from a tree of counts, so no task ranks all
+    values of a metric, however far they spread. Quantiles interpolate linearly between neighbouring ranks, from the nearer one, and are
+    cut to integers.
     """
-    value, span = F.col(value_col), [metric_col, "range"]
-    counted = (
-        values.where(value.isNotNull())
-        .groupBy(metric_col, value_col)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("range", F.floor(value / VALUE_RANGE))
+    value = F.col(value_col)
+    counted = cut_lineage(values.where(value.isNotNull()).groupBy(metric_col, value_col).agg(F.count(F.lit(1)).alias("n")))
+    ends = counted.groupBy(metric_col).agg(
+        F.min(value).alias("min"), F.max(value).alias("max"), F.sum("n").alias("rows"), F.sum(value * F.col("n")).alias("total")
     )
-    in_order = Window.partitionBy(metric_col).orderBy("range")
-    whole = Window.partitionBy(metric_col)
-    ranges = (
-        counted.groupBy(*span)
-        .agg(
-            F.min(value).alias("low"),
-            F.max(value).alias("high"),
-            F.sum(value * F.col("n")).alias("part"),
-            F.sum("n").alias("size"),
-        )
-        .select(
-            *span,
-            (F.sum("size").over(in_order) - F.col("size")).alias("before"),
-            F.sum("size").over(whole).alias("rows"),
-            F.sum("part").over(whole).alias("total"),
-            F.min("low").over(whole).alias("min"),
-            F.max("high").over(whole).alias("max"),
-        )
-    )
-    inside = F.sum("n").over(Window.partitionBy(*span).orderBy(value_col))
-    ranked = counted.withColumn("inside", inside).join(ranges, span).withColumn("upto", F.col("before") + F.col("inside"))
+    span = ends.agg(F.max(F.col("max").cast("decimal(20,0)") - F.col("min").cast("decimal(20,0)"))).first()[0]
+    ranked = _ranked(counted.join(ends, metric_col), metric_col, value_col, int(span or 0))
     positions = {name: (F.col("rows") - 1) * F.lit(q) for name, q in QUANTILES.items()}
 
     def at_rank(rank: Column) -> Column:
@@ -240,7 +245,7 @@ def placeholder_stats(
 
     The names are a report field and make one row; :func:`placeholder_frequency` has them as a table.
     """
-    return _slot_stats(_slots_per_side(df, instruction_col, response_col))
+    return _slot_stats(_slots_per_side(df, instruction_col, response_col), names=True)
 
 
 def placeholder_frequency(
@@ -256,16 +261,20 @@ def _slot_frequency(sides: DataFrame) -> DataFrame:
     return sides.select(F.explode(both).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-def _slot_stats(sides: DataFrame) -> DataFrame:
-    names = _slot_frequency(sides).agg(F.sort_array(F.collect_list("name")).alias("names")).scalar()
+def _slot_stats(sides: DataFrame, names: bool = False) -> DataFrame:
     total = F.count(F.lit(1))
     left, right = F.count_if(F.size("instruction_slots") > 0), F.count_if(F.size("response_slots") > 0)
-    return sides.agg(
+    stats = sides.agg(
         left.alias("instruction_count"),
         percent(left, total).alias("instruction_percentage"),
         right.alias("response_count"),
         percent(right, total).alias("response_percentage"),
-    ).withColumn("unique_placeholders", names)
+    )
+    if not names:
+        return stats
+    # Asked for as one field: the only place where all names meet in a row.
+    listed = _slot_frequency(sides).agg(F.sort_array(F.collect_list("name")).alias("names")).scalar()
+    return stats.withColumn("unique_placeholders", listed)
 
 
 def profile_facts(df: DataFrame, tokenizer: Callable[[Column], Column] = pre_token_count) -> DataFrame:
@@ -332,9 +341,20 @@ def full_profile(df: DataFrame, tokenizer: Callable[[Column], Column] = pre_toke
     return table
 
 
-def profile_report(df: DataFrame, tokenizer: Callable[[Column], Column] = pre_token_count) -> DataFrame:
-    """The nested one-row report: totals, label shares, length and token maps, slots, duplicates."""
+def profile_report(
+    df: DataFrame, tokenizer: Callable[[Column], Column] = pre_token_count, lists: bool = False
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(report, tables): the nested one-row report of totals, length and token maps, slots and duplicates, and the tables beside it.
+
+    Label shares and slot names are tables, one row each: ``categories``, ``intents``, ``placeholders``. With ``lists`` the
+    report holds them as well, for label sets known to be small.
+    """
     facts = cut_lineage(profile_facts(df, tokenizer))
+    tables = {
+        "categories": class_distribution(facts, "category"),
+        "intents": class_distribution(facts, "intent"),
+        "placeholders": _slot_frequency(facts),
+    }
 
     def shares(column: str) -> Column:
         # One element per label; sorting on the negated count puts the most frequent first.
@@ -351,13 +371,28 @@ def profile_report(df: DataFrame, tokenizer: Callable[[Column], Column] = pre_to
         return stats.agg(F.map_from_entries(entries).alias("m")).scalar()
 
     duplicates = _dedup(facts)
-    slots = _slot_stats(facts)
-    return duplicates.select(
+    slots = _slot_stats(facts, lists)
+    report = duplicates.select(
         F.col("total_rows").alias("total_records"),
-        shares("category").alias("categories"),
-        shares("intent").alias("intents"),
+        *([shares("category").alias("categories"), shares("intent").alias("intents")] if lists else []),
         metric_map(_count_stats(facts, LENGTH_METRICS)).alias("text_lengths"),
         metric_map(_count_stats(facts, TOKEN_METRICS)).alias("token_lengths"),
         slots.select(F.struct(*slots.columns).alias("s")).scalar().alias("placeholders"),
         F.struct(*duplicates.columns).alias("duplicates"),
     )
+    return report, tables
+
+
+def report_table(report: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """A report and its tables, as written and read back, in the long form of :func:`full_profile`."""
+    nothing = F.lit(None).cast("string")
+    parts = [_unpivot(tables[section], section, F.col("label"), ["count", "percentage"]) for section in ("categories", "intents")]
+    for field in ("text_lengths", "token_lengths"):
+        stats = report.select(F.explode(field).alias("metric", "stats")).select("metric", "stats.*")
+        parts.append(_unpivot(stats, "lengths", F.col("metric"), STATS))
+    counts = ["instruction_count", "instruction_percentage", "response_count", "response_percentage"]
+    parts.append(_unpivot(report.select("placeholders.*"), "placeholders", nothing, counts))
+    parts.append(_section(tables["placeholders"], "placeholders", F.lit("occurrences"), F.col("name"), F.col("occurrences")))
+    duplicates = report.select("duplicates.*")
+    parts.append(_unpivot(duplicates, "duplicates", nothing, duplicates.columns))
+    return reduce(DataFrame.unionByName, parts)

@@ -123,11 +123,32 @@ def fixed_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 
 def naive_random_split(df: DataFrame, key: str, train_ratio: float = 0.8, seed: int = 42) -> DataFrame:
-    """Add ``split`` (train/test) by a seeded shuffle of rows, clusters ignored."""
-    keys = cut_lineage(df.select(order_key(seed, F.col(key)).alias("key"), F.lit(1).cast("bigint").alias("size")))
-    steps = fill_steps(keys, int(keys.count() * train_ratio))
-    in_train = in_steps(steps, order_key(seed, F.col(key)), F.lit(1))
-    return df.withColumn("split", F.when(in_train, "train").otherwise("test"))
+    """Add ``split`` (train/test) by a seeded shuffle of rows, clusters ignored.
+
+    ``key`` should tell rows apart. Rows that share one cannot be: they go to train together if all of them fit, else to test.
+    """
+    hashed = df.select(order_key(seed, F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("key"))
+    keys = cut_lineage(hashed.groupBy("key").agg(F.count(F.lit(1)).alias("size")))
+    total, most = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first()
+    steps = fill_steps(keys, int(total * train_ratio))
+    name = order_key(seed, F.coalesce(F.col(key).cast("string"), F.lit("")))
+    if most == 1:
+        return df.withColumn("split", F.when(in_steps(steps, name, F.lit(1)), "train").otherwise("test"))
+    # Group sizes are needed beside the rows; a large group is one row of the table looked up.
+    placed = keys.select(F.col("key").alias("_key"), F.when(in_steps(steps, F.col("key"), F.col("size")), "train").otherwise("test").alias("split"))
+    rows = df.withColumn("_key", name)
+    return lookup(rows, placed, ["_key"], key, total).drop("_key")
+
+
+def hash_split(df: DataFrame, key: str, train_ratio: float = 0.8, val_ratio: float = 0.1, seed: int = 42) -> DataFrame:
+    """Add ``split`` by where the row's hash falls in 0...1: no shuffle, and a row keeps its split as the table grows.
+
+    With the cluster number as ``key`` clusters stay whole. Shares are met on average only.
+    """
+    _check_ratios(train_ratio, val_ratio, 1 - train_ratio - val_ratio)
+    place = F.conv(F.substring(order_key(seed, F.col(key)), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    split = F.when(place < train_ratio, "train").when(place < train_ratio + val_ratio, "val").otherwise("test")
+    return df.withColumn("split", split)
 
 
 def leakage_share(df: DataFrame) -> DataFrame:

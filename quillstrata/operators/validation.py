@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quillstrata.functions.text import WS, strip
 from quillstrata.schema import RULES, FieldRule
+from quillstrata.session import cut_lineage
 
 
 def _characters(n: int) -> str:
@@ -64,21 +65,28 @@ def _canonical(rule: FieldRule) -> Column:
 
 def canonicalize_record(df: DataFrame, key: str | None = None, rules: list[FieldRule] = RULES) -> DataFrame:
     """Valid rows in canonical form: declared fields only (and the key), lengths not checked again."""
+    return _canonical_rows(validate_rules(df, rules), key, rules)
+
+
+def _canonical_rows(checked: DataFrame, key: str | None, rules: list[FieldRule]) -> DataFrame:
     kept = [] if key is None else [F.col(key)]
     # With a field missing no row is valid; its typed null only keeps the result's schema fixed.
     present = {
-        r.field: _canonical(r) if r.field in df.columns else F.lit(None).cast("string") for r in rules
+        r.field: _canonical(r) if r.field in checked.columns else F.lit(None).cast("string") for r in rules
     }
-    valid = validate_rules(df, rules).where(F.size("errors") == 0)
+    valid = checked.where(F.size("errors") == 0)
     return valid.select(*kept, *[column.alias(name) for name, column in present.items()])
 
 
 def quarantined_records(df: DataFrame, key: str, rules: list[FieldRule] = RULES) -> DataFrame:
     """Bad rows as (row_index, raw_record, quarantine_reason); the key tells the row."""
-    raw = F.struct(*[F.col(c) for c in df.columns if c != key])
+    return _quarantined_rows(validate_rules(df, rules), key)
+
+
+def _quarantined_rows(checked: DataFrame, key: str) -> DataFrame:
+    raw = F.struct(*[F.col(c) for c in checked.columns if c not in (key, "errors")])
     return (
-        validate_rules(df, rules)
-        .where(F.size("errors") > 0)
+        checked.where(F.size("errors") > 0)
         .select(
             F.col(key).alias("row_index"),
             raw.alias("raw_record"),
@@ -90,17 +98,21 @@ def quarantined_records(df: DataFrame, key: str, rules: list[FieldRule] = RULES)
 def quarantine_split(
     df: DataFrame, key: str, rules: list[FieldRule] = RULES
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(valid, quarantined, summary). Rows are routed, never dropped."""
-    return (
-        canonicalize_record(df, key, rules),
-        quarantined_records(df, key, rules),
-        validation_summary(df, rules),
-    )
+    """(valid, quarantined, summary). Rows are routed, never dropped.
+
+    The rules run once: rows are stored with their errors, and all three results read that table.
+    """
+    checked = cut_lineage(validate_rules(df, rules))
+    return _canonical_rows(checked, key, rules), _quarantined_rows(checked, key), _summary(checked)
 
 
 def validation_summary(df: DataFrame, rules: list[FieldRule] = RULES) -> DataFrame:
     """One row of totals; the rate is 0.0 for an empty table."""
-    checked = validate_rules(df, rules).select((F.size("errors") > 0).alias("bad"))
+    return _summary(validate_rules(df, rules))
+
+
+def _summary(tagged: DataFrame) -> DataFrame:
+    checked = tagged.select((F.size("errors") > 0).alias("bad"))
     total, bad = F.count(F.lit(1)), F.count_if("bad")
     rate = F.round(F.coalesce(F.try_divide(bad, total), F.lit(0.0)) * 100, 2)
     return checked.agg(

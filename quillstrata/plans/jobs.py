@@ -60,6 +60,9 @@ def prepare_corpus(
         df = sanitize_records(df, TEXTS)
     if normalize:
         df = normalize_records(df, output_instruction_col="instruction", output_response_col="response")
+    if validate or sanitize or normalize:
+        # Clustering and the final join both read the prepared texts: they are made once.
+        df = cut_lineage(df)
     assigned = split_corpus(df, key, "instruction", seed, threshold, num_perm, mode)
     if output_dir is not None:
         # Read by the audit and by the write.

@@ -22,23 +22,24 @@ def stream_records(spark: SparkSession, path: str, schema: T.StructType = RECORD
 
 
 def stream_chat(
-    records: DataFrame, output: str, quarantine: str, checkpoint: str, key: str = "record_id"
+    records: DataFrame, output: str, quarantine: str, checkpoint: str, key: str = "record_id", trigger: dict | None = None
 ) -> StreamingQuery:
     """Route each micro-batch: bad rows to quarantine, the rest masked and formatted as chat lines.
 
-    A repeated batch overwrites its own folder, so a restart leaves no doubled rows.
+    A repeated batch overwrites its own folder, so a restart leaves no doubled rows. A batch is read once and kept while both results are
+    written. ``trigger`` is passed on, by default everything that is there and then an end.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        quarantined_records(batch, key).write.mode("overwrite").option("ignoreNullFields", False).json(
-            f"{quarantine}/batch={batch_id}"
-        )
-        clean = sanitize_records(canonicalize_record(batch, key), ["instruction", "response"])
-        format_sft(clean).select("messages").write.mode("overwrite").json(f"{output}/batch={batch_id}")
-
-    return (
-        records.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        batch = batch.persist()
+        try:
+            quarantined_records(batch, key).write.mode("overwrite").option("ignoreNullFields", False).json(
+                f"{quarantine}/batch={batch_id}"
+            )
+            clean = sanitize_records(canonicalize_record(batch, key), ["instruction", "response"])
+            format_sft(clean).select("messages").write.mode("overwrite").json(f"{output}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    stream = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return stream.trigger(**(trigger or {"availableNow": True})).start()

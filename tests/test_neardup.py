@@ -72,6 +72,18 @@ def test_star_matches_the_sequential_walk(spark, seed, nodes, count, heavy):
     assert {x: got.get(x, x) for x in range(nodes)} == plain_star(nodes, buckets)
 
 
+def test_star_in_hash_order_matches_the_walk_in_that_order(spark):
+    import hashlib
+
+    buckets = random_buckets(6, 60, 60, 5)
+    place = {i: hashlib.md5(f"3:{i}".encode()).hexdigest() for i in range(60)}
+    rank = {i: k for k, i in enumerate(sorted(place, key=place.get))}
+    back = {k: i for i, k in rank.items()}
+    expected = plain_star(60, {b: [rank[i] for i in ids] for b, ids in buckets.items()})
+    got = {r.id: r.root for r in C.star_clusters(bands_frame(spark, buckets), "doc_id", seed=3).collect()}
+    assert {x: got.get(x, x) for x in range(60)} == {back[a]: back[b] for a, b in expected.items()}
+
+
 def test_chain_parts_under_star_only(spark):
     bands = bands_frame(spark, {(0, 1): [0, 1], (0, 2): [1, 2]})
     assert {r.id: r.root for r in C.star_clusters(bands, "doc_id").collect()} == {0: 0, 1: 0, 2: 2}
@@ -122,8 +134,13 @@ def test_clusters_of_texts(spark):
     again = {r.id: r.cluster_id for r in C.cluster_ids(df.repartition(5), "t", "id").collect()}
     assert again == got
     queries = spark.createDataFrame([(1, base), (2, "unseen words here only")], "q long, t string")
-    found = N.near_dup_lookup(queries, "t", "q", N.lsh_bands(df, "t", "id"), "id").collect()
-    assert {(r.q, r.id) for r in found} == {(1, 3), (1, 10), (1, 11)}
+    found = N.near_dup_lookup(queries.union(queries), "t", "q", df, "t", "id").collect()
+    assert {tuple(r) for r in found} == {(1, 2, 3, 1), (1, 2, 10, 2)}
+    links = spark.createDataFrame([(10, 3), (11, 3), (7, 3), (9, 8)], "id long, anchor_id long")
+    kept = {(r.id, r.anchor_id): (r.shared, r.total) for r in N.jaccard_verify(links, df, "t", "id").collect()}
+    assert kept == {(10, 3): (58, 59), (11, 3): (58, 59), (9, 8): (1, 1)}
+    ordered = {r.id: r.cluster_id for r in C.cluster_ids(df, "t", "id", mode="star", star_seed=7).collect()}
+    assert ordered[3] == ordered[10] == ordered[11] and ordered[8] == ordered[9] and ordered[7] == 7
     with pytest.raises(ValueError):
         C.cluster_ids(df, "t", "id", mode="other")
 

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from pathlib import Path
 
 import numpy as np
@@ -21,6 +22,22 @@ def test_percentiles_match_numpy(spark):
         assert abs(r.mean - a.mean()) <= 0.0051
 
 
+def test_percentiles_of_values_that_spread_far(spark):
+    rng = random.Random(8)
+    groups = {"wide": [rng.randrange(-(10**12), 10**12) for _ in range(800)], "whole": [-(2**63), 2**63 - 1, 0], "one": [5] * 7, "edge": [0, 4095, 4096, 4097, 2**24]}
+    df = spark.createDataFrame([(m, v) for m, vs in groups.items() for v in vs if m != "whole"], "metric string, value long")
+    stats = P.percentile_stats(df)
+    for r in stats.collect():
+        a = sorted(groups[r.metric])
+        at = (len(a) - 1) * 0.25
+        low, high = a[int(at)], a[min(int(at) + 1, len(a) - 1)]
+        assert (r["min"], r["max"]) == (a[0], a[-1]) and abs(r.p25 - (low + (high - low) * (at - int(at)))) <= 1
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(metric" in plan.replace("#", "@").replace(" ", "") or "Window" in plan
+    for window in re.findall(r"Window \[.*?\], \[(.*?)\], \[", plan):
+        assert len(window.split(",")) >= 2, window
+
+
 def test_lengths(spark, records):
     stats = {r.metric: r for r in P.length_stats(records).collect()}
     assert stats["instruction_words"]["max"] == 5 and stats["instruction_words"]["min"] == 0
@@ -64,13 +81,17 @@ def test_tokens_with_a_given_tokenizer(spark, records):
 
 
 def test_report_is_nested_json(spark, records, tmp_path):
-    report = P.profile_report(records)
-    write_profile(report, str(tmp_path / "p"))
-    text = "".join(p.read_text() for p in Path(tmp_path / "p").glob("*.json"))
+    report, tables = P.profile_report(records, lists=True)
+    write_profile(report, str(tmp_path / "p"), tables)
+    text = "".join(p.read_text() for p in Path(tmp_path / "p" / "report").glob("*.json"))
     data = json.loads(text)
     assert data["total_records"] == 6
     assert data["intents"][0] == {"label": "get_refund", "count": 2, "percentage": 33.33}
     assert set(data["text_lengths"]) == set(P.LENGTH_METRICS) and set(data["token_lengths"]) == set(P.TOKEN_METRICS)
     assert data["placeholders"]["unique_placeholders"] == ["Amount", "City", "Date", "Order Number"]
+    plain, tables = P.profile_report(records)
+    assert "categories" not in plain.columns and "unique_placeholders" not in plain.schema["placeholders"].dataType.fieldNames()
+    assert spark.read.json(str(tmp_path / "p" / "placeholders")).count() == 4
     long = P.full_profile(records)
+    assert sorted(map(repr, P.report_table(plain, tables).collect())) == sorted(map(repr, long.collect()))
     assert long.where("section = 'duplicates' and metric = 'total_rows'").first().value == 6.0

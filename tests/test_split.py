@@ -93,6 +93,24 @@ def test_order_positions(spark):
     assert {r["size"]: r.clusters for r in cluster_size_histogram(df).collect()} == {1: 100, 2: 100, 3: 100}
 
 
+def test_many_rows_of_one_key_end(spark):
+    df = spark.range(6000).select(F.lit(7).alias("id")).union(spark.range(100, 140).select(F.col("id").cast("int")))
+    rows = S.naive_random_split(df, "id", 0.5).groupBy("id", "split").count().collect()
+    by_key = {r.id: (r.split, r["count"]) for r in rows}
+    assert by_key[7] == ("test", 6000) and len(by_key) == 41
+    assert all(split == "train" for key, (split, _) in by_key.items() if key != 7)
+    same = spark.range(5000).select(F.lit(md5("x")).alias("key"), F.lit(1).cast("bigint").alias("size"))
+    assert fill_steps(same, 10)[0].before == md5("x")
+
+
+def test_hash_split_is_stateless(spark):
+    df = spark.range(4000)
+    first = {r.id: r.split for r in S.hash_split(df, "id", 0.6, 0.3).collect()}
+    again = {r.id: r.split for r in S.hash_split(spark.range(6000), "id", 0.6, 0.3).collect()}
+    assert all(again[i] == s for i, s in first.items())
+    assert abs(sum(s == "train" for s in first.values()) - 2400) < 120 and set(first.values()) == {"train", "val", "test"}
+
+
 def test_samples_and_naive_split(spark):
     df = spark.range(997).select(F.col("id"))
     first = [r.id for r in S.fixed_sample(df, 50, "id").collect()]
