@@ -35,6 +35,7 @@ HEADLINES = [
     "tfidf_weights",
     "per_class_metrics",
     "prepare_corpus",
+    "train_and_evaluate",
 ]
 
 

@@ -40,7 +40,7 @@ def key(x: str) -> str:
 # --- views
 
 PAIRS = """pairs AS (
-  SELECT conv_id * 1000 + turn AS record_id,
+  SELECT conv_id || ':' || turn AS record_id,
          CASE WHEN length(r) % 13 = 0 THEN '' WHEN length(r) % 17 = 0 THEN NULL ELSE 'B' END AS flags,
          text AS instruction,
          CASE WHEN length(text) % 7 = 0 THEN 'X' WHEN length(text) % 11 = 0 THEN '   '
@@ -62,6 +62,9 @@ UNTIDY = """untidy AS (
          || replace(replace(text, chr(233), 'e' || chr(769)), '. ', '.' || chr(133) || chr(9) || ' ')
          || chr(31) || '  ' AS text FROM documents)"""
 
+SIGNED = """signed AS (
+  SELECT doc_id, chr(128512) || replace(text, ' th', ' ' || chr(128512) || 'th') || ' ' || chr(128512) || 'a ' || chr(128512) AS text FROM documents)"""
+
 SLOTTED = """slotted AS (
   SELECT doc_id, lang, source, CASE lang
     WHEN 'en' THEN text || ' {{Order Number}}'
@@ -409,6 +412,11 @@ def leak(kind: str, table: str) -> str:
   WHERE r.split = 'test'"""
 
 
+def judged(split: str) -> str:
+    return f"""WITH {naive_ctes('documents')} SELECT target, CAST(count(*) AS BIGINT) AS samples, true AS within, true AS good
+  FROM naive, (VALUES ('category'), ('intent')) t(target) WHERE split = '{split}' GROUP BY target"""
+
+
 # --- n-grams
 
 WORDS_OF = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
@@ -424,7 +432,7 @@ def char_grams() -> str:
         f"SELECT unnest(list_transform(range(1, length(t) - {n - 2}), lambda i: substr(t, i, {n}))) AS gram FROM clean"
         for n in (3, 4, 5)
     )
-    return f"""WITH clean AS (SELECT regexp_replace(lower(text), '[{WS}]{{2,}}', ' ', 'g') AS t FROM documents)
+    return f"""WITH {SIGNED}, clean AS (SELECT regexp_replace(lower(text), '[{WS}]{{2,}}', ' ', 'g') AS t FROM signed)
 SELECT gram, CAST(count(*) AS BIGINT) AS occurrences FROM ({parts}) GROUP BY gram"""
 
 
@@ -503,17 +511,31 @@ ORACLE = {
   SELECT CAST(count(*) AS BIGINT) AS total_rows, CAST(count(*) FILTER (over_limit) AS BIGINT) AS truncated_rows,
   {pct('count(*) FILTER (over_limit)', 'count(*)')} AS truncated_percentage FROM t""",
     "full_profile": full_profile(),
-    "word_shingles": f"WITH {shingle_ctes()} SELECT doc_id, shingle FROM shingles",
+    "word_shingles": f"WITH {SIGNED}, {shingle_ctes('signed')} SELECT doc_id, shingle FROM shingles",
     "minhash_signature": f"WITH {signature_ctes()} SELECT doc_id, concat_ws(',', {', '.join(f'm{i}' for i in range(NUM_PERM))}) AS signature FROM signatures",
     "lsh_bands": f"WITH {band_ctes()} SELECT doc_id, band, bucket FROM bands",
     "near_dup_candidates": f"WITH {EDGES} SELECT doc_id, anchor_id FROM edges",
-    "near_dup_lookup": f"""WITH asked AS (SELECT -item_id - 1 AS doc_id, text FROM benchmark UNION ALL
-    SELECT min(doc_id), arg_min(text, doc_id) FROM documents GROUP BY lang),
-  everything AS (SELECT doc_id, 'd' AS side, text FROM documents UNION ALL SELECT doc_id, 'q', text FROM asked),
-  numbered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY side, doc_id) AS n, * FROM everything),
+    "near_dup_lookup": f"""WITH everything AS (
+    SELECT 'q' AS side, 'b' || item_id AS q, NULL::BIGINT AS doc_id, text FROM benchmark UNION ALL
+    SELECT 'q', 'c' || conv_id || ':' || turn, NULL, text FROM conversations WHERE role = 'user' UNION ALL
+    SELECT 'q', 'd' || doc_id, NULL, text FROM documents UNION ALL
+    SELECT 'd', NULL, doc_id, text FROM documents),
+  numbered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY side, q, doc_id) AS n, * FROM everything),
   {band_ctes('numbered', 'n')},
-  sided AS (SELECT doc_id, side, bucket FROM bands JOIN numbered USING (n))
-  SELECT DISTINCT q.doc_id AS query_id, d.doc_id FROM sided q JOIN sided d USING (bucket) WHERE q.side = 'q' AND d.side = 'd'""",
+  named AS (SELECT n, concat_ws(',', {', '.join(f'm{i}' for i in range(NUM_PERM))}) AS signature FROM signatures),
+  grouped AS MATERIALIZED (SELECT side, signature, min(q) AS q, min(doc_id) AS doc_id, count(*) AS size, min(n) AS n
+    FROM named JOIN numbered USING (n) GROUP BY side, signature),
+  sided AS (SELECT g.*, bucket FROM grouped g JOIN bands USING (n))
+  SELECT DISTINCT q.q AS query_first, CAST(q.size AS BIGINT) AS query_size, d.doc_id AS corpus_first, CAST(d.size AS BIGINT) AS corpus_size
+  FROM sided q JOIN sided d USING (bucket) WHERE q.side = 'q' AND d.side = 'd'""",
+    "jaccard_verify": f"""WITH {EDGES},
+  sets AS (SELECT doc_id, list(shingle) AS s FROM shingles GROUP BY doc_id),
+  scored AS (SELECT e.doc_id, anchor_id, CAST(len(list_intersect(a.s, b.s)) AS BIGINT) AS shared, len(a.s) AS na, len(b.s) AS nb
+    FROM edges e JOIN sets a ON a.doc_id = e.doc_id JOIN sets b ON b.doc_id = e.anchor_id)
+  SELECT doc_id, anchor_id, shared, CAST(na + nb - shared AS BIGINT) AS total, round(shared::DOUBLE / (na + nb - shared), 6) AS jaccard
+  FROM scored WHERE shared >= (na + nb - shared) * {THRESHOLD}::DOUBLE""",
+    "hash_split": f"""SELECT doc_id, source, CASE WHEN p < 0.8::DOUBLE THEN 'train' WHEN p < 0.8::DOUBLE + 0.1::DOUBLE THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT doc_id, source, CAST('0x' || substr({key('doc_id')}, 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS p FROM documents)""",
     "cluster_ids": f"WITH RECURSIVE {CLUSTERS} SELECT doc_id, cluster_id FROM clustered",
     "cluster_ids_star": f"""WITH RECURSIVE {STAR} SELECT d.doc_id,
   CASE WHEN n.doc_id IS NULL OR list_contains(seeds, d.doc_id) THEN d.doc_id
@@ -558,5 +580,20 @@ ORACLE = {
     "macro_f1": f"WITH {PER_CLASS} SELECT round(avg(f), 4) AS macro_f1 FROM scores",
     "weighted_f1": f"WITH {PER_CLASS} SELECT round(sum(f * support) / sum(support), 4) AS weighted_f1 FROM scores",
     "label_set": f"WITH {PER_CLASS} SELECT label FROM names",
-    "prepare_corpus": f"WITH RECURSIVE {SPLIT} {AUDIT}",
+    "prepare_corpus": f"""WITH RECURSIVE {SPLIT} SELECT *, train_rows + val_rows + test_rows AS split_rows,
+  train_rows + val_rows + test_rows AS chat_rows, least(500, test_rows) AS eval_rows, least(500, test_rows) AS eval_chat_rows FROM ({AUDIT})""",
+    "file_sha256": "SELECT count(*) > 0 AS any_file, true AS all_agree FROM documents",
+    "dataset_manifest": """SELECT 'documents' AS dataset_name, 'file' AS source_url, '1' AS revision_sha, 'unknown' AS license,
+  CAST(count(*) AS BIGINT) AS row_count, 5::BIGINT AS column_count, 'doc_id,text,lang,source,n_chars' AS columns, true AS files_agree FROM documents""",
+    "write_profile": full_profile(),
+    "fit_classifier": judged("train"),
+    "evaluate_classifier": judged("test"),
+    "train_and_evaluate": judged("test"),
+    "predict_labels": f"WITH {naive_ctes('documents')} SELECT doc_id AS record_id, true AS known FROM naive WHERE split = 'test'",
+    "save_load_model": f"""WITH {naive_ctes('documents')} SELECT CAST(count(*) AS BIGINT) AS test_rows, 0::BIGINT AS changed
+  FROM naive WHERE split = 'test'""",
+    "leakage_models": f"""WITH RECURSIVE {SPLIT}, {naive_ctes('clustered')},
+  sizes_of AS (SELECT 'grouped' AS kind, count(*) AS n FROM split_rows WHERE split = 'test' UNION ALL
+    SELECT 'naive', count(*) FROM naive WHERE split = 'test')
+  SELECT kind, target, CAST(n AS BIGINT) AS samples, true AS within FROM sizes_of, (VALUES ('category'), ('intent')) t(target)""",
 }

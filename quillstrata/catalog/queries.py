@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +57,13 @@ def ingest_raw(spark, d):
 
 
 def file_sha256(spark, d):
-    sums = provenance.file_sha256(spark, f"{d}/documents.parquet")
-    return sums.select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256", "size_bytes")
+    """Chunked digests of the files against the built-in one over their whole content."""
+    path = f"{d}/documents.parquet"
+    sums = provenance.file_sha256(spark, path)
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    both = sums.join(whole.select("path", F.sha2("content", 256).alias("expected"), "length"), "path", "full")
+    same = (F.col("sha256") == F.col("expected")) & (F.col("size_bytes") == F.col("length"))
+    return both.agg((F.count(F.lit(1)) > 0).alias("any_file"), F.bool_and(F.coalesce(same, F.lit(False))).alias("all_agree"))
 
 
 def dataset_fingerprint(spark, d):
@@ -65,9 +72,21 @@ def dataset_fingerprint(spark, d):
 
 
 def dataset_manifest(spark, d):
+    """The manifest as written and read back: its counts, and whether its files table agrees with the folder."""
+    path, out = f"{d}/documents.parquet", scratch(spark, "manifest")
     df = views.table(spark, d, "documents")
-    files = provenance.file_sha256(spark, f"{d}/documents.parquet")
-    return provenance.dataset_manifest(df, files, "documents", "file", "1", "unknown").drop("download_timestamp_utc")
+    files = provenance.artifact_table(provenance.file_sha256(spark, path), path)
+    provenance.write_manifest(provenance.dataset_manifest(df, files, "documents", "file", "1", "unknown"), out, files)
+    listed = spark.read.json(f"{out}/artifacts")
+    there = provenance.list_files(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("size"))
+    totals = listed.agg(F.count_distinct("artifact").alias("n"), F.sum("size_bytes").alias("size"))
+    agrees = (F.col("file_count") == there.select("n").scalar()) & (F.col("total_bytes") == there.select("size").scalar())
+    agrees = agrees & (F.col("file_count") == totals.select("n").scalar()) & (F.col("total_bytes") == totals.select("size").scalar())
+    manifest = spark.read.json(f"{out}/manifest")
+    return manifest.select(
+        "dataset_name", "source_url", "revision_sha", "license", "row_count", "column_count",
+        F.array_join("columns", ",").alias("columns"), agrees.alias("files_agree"),
+    )
 
 
 def write_split_parquet(spark, d):
@@ -115,9 +134,10 @@ def write_quarantine(spark, d):
 
 def write_profile(spark, d):
     path = scratch(spark, "profile")
-    report = profile.profile_report(views.slotted_pairs(spark, d))
-    sinks.write_profile(report, path)
-    return spark.read.schema(report.schema).json(path)
+    report, tables = profile.profile_report(views.slotted_pairs(spark, d))
+    sinks.write_profile(report, path, tables)
+    back = {name: spark.read.schema(t.schema).json(f"{path}/{name}") for name, t in tables.items()}
+    return profile.report_table(spark.read.schema(report.schema).json(f"{path}/report"), back)
 
 
 # --- projection, filter, scalar text
@@ -265,7 +285,7 @@ def full_profile(spark, d):
 
 
 def word_shingles(spark, d):
-    return neardup.shingle_table(views.documents(spark, d), "text", "doc_id")
+    return neardup.shingle_table(views.signed(spark, d), "text", "doc_id")
 
 
 def minhash_signature(spark, d):
@@ -286,13 +306,19 @@ def near_dup_candidates(spark, d):
 
 
 def near_dup_lookup(spark, d):
-    """Neighbours of every benchmark text and of the first document of each language."""
-    asked = views.table(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("query_id"), "text")
-    first = views.table(spark, d, "documents").groupBy("lang").agg(
-        F.min("doc_id").alias("query_id"), F.min_by("text", "doc_id").alias("text")
-    )
-    queries = asked.unionByName(first.select("query_id", "text"))
-    return neardup.near_dup_lookup(queries, "text", "query_id", _bands(spark, d), "doc_id")
+    """Neighbours in the documents of every benchmark text, every user turn and every document."""
+    items = views.table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("query_id"), "text")
+    turns = views.table(spark, d, "conversations").where("role = 'user'")
+    asked = turns.select(F.concat(F.lit("c"), F.concat_ws(":", "conv_id", "turn")).alias("query_id"), "text")
+    docs = views.documents(spark, d).select(F.concat(F.lit("d"), "doc_id").alias("query_id"), "text")
+    queries = items.unionByName(asked).unionByName(docs)
+    return neardup.near_dup_lookup(queries, "text", "query_id", views.documents(spark, d), "text", "doc_id")
+
+
+def jaccard_verify(spark, d):
+    """Star links of the documents whose shingle sets are really similar."""
+    links = cut_lineage(neardup.near_dup_candidates(cut_lineage(_bands(spark, d)), "doc_id"))
+    return neardup.jaccard_verify(links, views.documents(spark, d), "text", "doc_id")
 
 
 def _clustered(spark, d, mode: str = "components") -> DataFrame:
@@ -348,6 +374,11 @@ def naive_random_split(spark, d):
     return split.naive_random_split(views.table(spark, d, "documents").select("doc_id", "source"), "doc_id", 0.8, SEED)
 
 
+def hash_split(spark, d):
+    df = views.table(spark, d, "documents").select("doc_id", "source")
+    return split.hash_split(df, "doc_id", 0.8, 0.1, SEED)
+
+
 def leakage_experiment(spark, d):
     """Share of test rows whose cluster is in train, for the grouped and the row-wise split."""
     clustered = cut_lineage(_clustered(spark, d))
@@ -397,7 +428,7 @@ def word_ngrams_query(spark, d):
 
 
 def char_ngrams_query(spark, d):
-    grams = views.documents(spark, d).select(F.explode(char_ngrams("text")).alias("gram"))
+    grams = views.signed(spark, d).select(F.explode(char_ngrams("text")).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
@@ -406,9 +437,7 @@ def vocabulary_topk(spark, d):
 
 
 def tfidf_weights(spark, d):
-    # Spread without a key: the counts are then shuffled once and that shuffle serves vocabulary and weights alike.
-    df = records.spread(views.table(spark, d, "documents"))
-    weights = features.tfidf_weights(df, word_ngrams("text"), "doc_id", features.WORD_FEATURES)
+    weights = features.tfidf_weights(views.documents(spark, d), word_ngrams("text"), "doc_id", features.WORD_FEATURES)
     return weights.select("doc_id", "term", "tf", F.round("weight", 4).alias("weight"))
 
 
@@ -417,28 +446,43 @@ def _labelled_splits(spark, d) -> DataFrame:
     return split.naive_random_split(df, "record_id", 0.8, SEED)
 
 
-MODEL_SIZE = {"max_word_features": 2_000, "max_char_features": 4_000, "max_iter": 10}
+def _model(spark, d) -> tuple[classifier.TextLabelModel, DataFrame]:
+    splits = cut_lineage(_labelled_splits(spark, d))
+    return classifier.fit_classifier(projection.filter_split(splits, "train")), splits
 
 
-def _model(spark, d) -> tuple[classifier.TextLabelModel, DataFrame]:
-    splits = _labelled_splits(spark, d)
-    return classifier.fit_classifier(projection.filter_split(splits, "train"), **MODEL_SIZE), splits
+def _judged(scores: DataFrame, scored_rows: DataFrame, *also: str) -> DataFrame:
+    """Scores as facts that SQL can state: samples, every score within 0...1, and the category at least as good as the largest class."""
+    labels = scored_rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    largest = labels.agg((F.max("n") / F.sum("n")).alias("share")).scalar()
+    within = reduce(and_, [F.col(c).between(0, 1) for c in ("accuracy", "macro_f1", "weighted_f1")])
+    # Sources say nothing about a text, so only the category can be expected to beat it; scores are rounded.
+    good = (F.col("target") != "category") | (F.col("accuracy") + 1e-4 >= largest)
+    return scores.select(*also, "target", "samples", within.alias("within"), good.alias("good"))
 
 
 def fit_classifier(spark, d):
     model, splits = _model(spark, d)
-    return model.evaluate(projection.filter_split(splits, "train"))
+    train = projection.filter_split(splits, "train")
+    return _judged(model.evaluate(train), train)
 
 
 def predict_labels(spark, d):
+    """Every test row, and whether both its predictions are labels that the train rows have."""
     model, splits = _model(spark, d)
     scored = model.predict(projection.filter_split(splits, "test"))
-    return scored.select("record_id", "predicted_category", "predicted_intent")
+    train = projection.filter_split(splits, "train")
+    for name in ("category", "intent"):
+        known = train.select(F.col(name).alias(f"predicted_{name}")).distinct().withColumn(f"known_{name}", F.lit(True))
+        scored = scored.join(known, f"predicted_{name}", "left")
+    both = F.coalesce(F.col("known_category") & F.col("known_intent"), F.lit(False))
+    return scored.select("record_id", both.alias("known"))
 
 
 def evaluate_classifier(spark, d):
     model, splits = _model(spark, d)
-    return model.evaluate(projection.filter_split(splits, "test"))
+    test = projection.filter_split(splits, "test")
+    return _judged(model.evaluate(test), test)
 
 
 def save_load_model(spark, d):
@@ -459,12 +503,38 @@ def save_load_model(spark, d):
 
 
 def prepare_corpus(spark, d):
-    return jobs.prepare_corpus(views.corpus(spark, d), seed=SEED)
+    """The whole job with all its files; the audit and the row counts are taken from what was written."""
+    out = scratch(spark, "corpus")
+    jobs.prepare_corpus(views.corpus(spark, d), out, seed=SEED)
+    written = spark.read.parquet(f"{out}/splits")
+
+    def rows(df):
+        return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    return split.split_audit(written).withColumns(
+        {
+            "split_rows": rows(written),
+            "chat_rows": rows(records.read_sft_jsonl(spark, f"{out}/sft")),
+            "eval_rows": rows(spark.read.parquet(f"{out}/test_eval_500")),
+            "eval_chat_rows": rows(records.read_sft_jsonl(spark, f"{out}/test_eval_500_sft")),
+        }
+    )
 
 
 def train_and_evaluate(spark, d):
-    _, scores = jobs.train_and_evaluate(_labelled_splits(spark, d), scratch(spark, "model"), **MODEL_SIZE)
-    return scores
+    splits = cut_lineage(_labelled_splits(spark, d))
+    _, scores = jobs.train_and_evaluate(splits, scratch(spark, "model"))
+    return _judged(scores, projection.filter_split(splits, "test"))
+
+
+def leakage_models(spark, d):
+    """The model half of the leakage experiment: the same model on the grouped and on the row-wise split."""
+    df = cut_lineage(views.corpus(spark, d))
+    clustered = cut_lineage(clusters.cluster_ids(df, "instruction", "record_id"))
+    grouped = cut_lineage(split.grouped_split(clustered, "record_id", seed=SEED))
+    naive = cut_lineage(split.naive_random_split(clustered, "record_id", 0.8, SEED))
+    scores = jobs.leakage_experiment(grouped, naive)
+    return scores.select("kind", "target", "samples", reduce(and_, [F.col(c).between(0, 1) for c in ("accuracy", "macro_f1", "weighted_f1")]).alias("within"))
 
 
 QUERIES = {
@@ -515,6 +585,7 @@ QUERIES = {
     "lsh_bands": lsh_bands,
     "near_dup_candidates": near_dup_candidates,
     "near_dup_lookup": near_dup_lookup,
+    "jaccard_verify": jaccard_verify,
     "cluster_ids": cluster_ids,
     "cluster_ids_star": cluster_ids_star,
     "cluster_sizes": cluster_sizes,
@@ -525,7 +596,9 @@ QUERIES = {
     "split_shares": split_shares,
     "fixed_sample": fixed_sample,
     "naive_random_split": naive_random_split,
+    "hash_split": hash_split,
     "leakage_experiment": leakage_experiment,
+    "leakage_models": leakage_models,
     "assistant_payload": assistant_payload,
     "format_sft": format_sft,
     "sft_roundtrip": sft_roundtrip,

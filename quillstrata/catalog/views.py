@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstrata.sources.records import conversation_pairs, load_records, spread
+from quillstrata.sources.records import conversation_pairs, load_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents spread by key for text work."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    """Documents, dealt by key for text work over a few large row groups."""
+    return table(spark, sf_dir, "documents").repartition("doc_id")
+
+
+def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with characters beyond U+FFFF before, inside and after the text."""
+    sign = chr(0x1F600)
+    text = F.regexp_replace("text", " th", f" {sign}th")
+    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit(sign), text, F.lit(f" {sign}a {sign}")).alias("text"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +79,7 @@ def slotted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User and assistant turns as records. Labels come from text lengths, some of them invalid on purpose."""
-    base = conversation_pairs(spread(table(spark, sf_dir, "conversations"), "conv_id"))
+    base = conversation_pairs(table(spark, sf_dir, "conversations"))
     asked, answered = F.length("instruction"), F.length("response")
     return base.select(
         "record_id",
