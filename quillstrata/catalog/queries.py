@@ -446,9 +446,20 @@ def _labelled_splits(spark, d) -> DataFrame:
     return split.naive_random_split(df, "record_id", 0.8, SEED)
 
 
+# Saved models by application and data folder: the queries about one fitted model share it.
+_FITTED: dict[tuple[str, str], str] = {}
+
+
 def _model(spark, d) -> tuple[classifier.TextLabelModel, DataFrame]:
+    """The model fitted on the train rows with the operator's defaults, once per application and folder, and the splits."""
     splits = cut_lineage(_labelled_splits(spark, d))
-    return classifier.fit_classifier(projection.filter_split(splits, "train")), splits
+    place = (spark.sparkContext.applicationId, d)
+    if place not in _FITTED:
+        model = classifier.fit_classifier(projection.filter_split(splits, "train"))
+        path = scratch(spark, "fitted")
+        model.save(path)
+        _FITTED[place] = path
+    return classifier.TextLabelModel.load(_FITTED[place]), splits
 
 
 def _judged(scores: DataFrame, scored_rows: DataFrame, *also: str) -> DataFrame:
