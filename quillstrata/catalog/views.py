@@ -29,13 +29,13 @@ def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as labelled records: the text on both sides, language as category, source as intent."""
+    """Documents as labelled records: the text on both sides, language as category, language and size as intent."""
     return documents(spark, sf_dir).select(
         F.col("doc_id").alias("record_id"),
         F.lit("B").alias("flags"),
         F.col("text").alias("instruction"),
         F.col("lang").alias("category"),
-        F.col("source").alias("intent"),
+        F.concat_ws("_", "lang", F.when(F.col("n_chars") > 1500, "long").otherwise("short")).alias("intent"),
         F.col("text").alias("response"),
     )
 
