@@ -121,13 +121,8 @@ def shared_units(texts: DataFrame, window: int, buckets: int) -> DataFrame:
         if held:
             yield _pair_batch(list(_pairs_by_bucket(np.concatenate(units), np.concatenate(keys), buckets)))
 
-    def by_document(units: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(keys, kind="stable")
-        keys, units = keys[order], units[order]
-        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        offsets = pa.array(np.concatenate([start, [len(keys)]]).astype(np.int32))
-        lists = pa.ListArray.from_arrays(offsets, pa.array(units.view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(keys[start]), lists], ["key", "units"])
+    def pairs_of(units: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(units.view(np.int64))], ["key", "unit"])
 
     def meet(units: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
         unit, key = np.concatenate(units), np.concatenate(keys)
@@ -136,7 +131,7 @@ def shared_units(texts: DataFrame, window: int, buckets: int) -> DataFrame:
         start = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
         last = np.concatenate([start[1:], [len(unit)]]) - 1
         several = np.repeat(key[start] != key[last], last - start + 1) & (key != NOTICE)
-        return by_document(unit[several], key[several])
+        return pairs_of(unit[several], key[several])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, units, keys = None, [], []
@@ -144,7 +139,7 @@ def shared_units(texts: DataFrame, window: int, buckets: int) -> DataFrame:
             for bucket, direct, u, k in zip(*[batch[n] for n in ("bucket", "direct", "units", "keys")]):
                 unit, key = np.frombuffer(u.as_py(), np.uint64), np.frombuffer(k.as_py(), np.int64)
                 if direct.as_py():
-                    yield by_document(unit, key)
+                    yield pairs_of(unit, key)
                     continue
                 if bucket.as_py() != now and units:
                     yield meet(units, keys)
@@ -157,7 +152,7 @@ def shared_units(texts: DataFrame, window: int, buckets: int) -> DataFrame:
 
     pairs = texts.select("key", "utf8").mapInArrow(pair_up, _PAIRS)
     gathered = pairs.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return gathered.mapInArrow(decide, "key bigint, units array<bigint>")
+    return gathered.mapInArrow(decide, "key bigint, unit bigint")
 
 
 def contexts(candidates: DataFrame, window: int) -> DataFrame:
@@ -187,12 +182,18 @@ def contexts(candidates: DataFrame, window: int) -> DataFrame:
 # --- the index
 
 
+# Patterns searched at a time: the working arrays stay in the processor cache.
+SEARCH_CHUNK = 1 << 14
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class WaveletMatrix:
     """Rank over a sequence of small numbers: per bit a packed bit vector with a running count per 64 bits."""
 
     def __init__(self, values: np.ndarray):
         self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []
-        self.bits = max(1, int(values.max(initial=1)).bit_length())
+        largest = int(values.max(initial=1))
+        self.bits = max(1, largest.bit_length())
         for shift in range(self.bits - 1, -1, -1):
             bit = (values >> shift) & 1
             padded = np.zeros(-(-(len(bit) + 1) // 64) * 64, np.uint8)
@@ -202,21 +203,20 @@ class WaveletMatrix:
             zeros = int(len(bit) - bit.sum())
             self.levels.append((packed, before, zeros))
             values = np.concatenate([values[bit == 0], values[bit == 1]])
+        # Where each symbol's own run begins behind the last level.
+        every = np.arange(largest + 1)
+        self.first = self._descend(every, np.zeros(len(every), np.int64))
 
-    def rank(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of each symbol before position low, and before position high."""
-        first = np.zeros(len(symbol), np.int64)
-        ends = np.concatenate([low, high])
+    def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for level, (packed, before, zeros) in enumerate(self.levels):
-            one = ((symbol >> (self.bits - 1 - level)) & 1).astype(bool)
-            both = np.concatenate([first, ends])
-            word = both >> 6
-            mask = (np.uint64(1) << (both & 63).astype(np.uint64)) - np.uint64(1)
-            ones = before[word] + np.bitwise_count(packed[word] & mask)
-            pick = np.concatenate([one, one, one])
-            moved = np.where(pick, zeros + ones, both - ones)
-            first, ends = moved[: len(symbol)], moved[len(symbol) :]
-        return ends[: len(symbol)] - first, ends[len(symbol) :] - first
+            word = at >> 6
+            ones = before[word] + np.bitwise_count(packed[word] & _BELOW[at & 63])
+            at = np.where((symbol >> (self.bits - 1 - level)) & 1, zeros + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Occurrences of each symbol before each position."""
+        return self._descend(symbol, at) - self.first[symbol]
 
 
 class FMIndex:
@@ -228,12 +228,12 @@ class FMIndex:
     def __init__(self, text: np.ndarray, depth: int):
         rank = text.astype(np.int64)
         span = 1
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         while span < depth:
             shifted = np.zeros_like(rank)
             shifted[:-span] = rank[span:] + 1
             pair = rank * (len(rank) + int(rank.max()) + 2) + shifted
-            order = np.argsort(pair, kind="stable")
+            order = np.argsort(pair)
             ranked = pair[order]
             rank = np.empty_like(rank)
             rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
@@ -242,15 +242,26 @@ class FMIndex:
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text))])
         self.transform = WaveletMatrix(text[order - 1])
 
-    def search(self, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of the patterns of ``length`` symbols that end at the positions ``ends`` of a text (inclusive)."""
-        symbol = text[ends]
-        low, high = self.smaller[symbol], self.smaller[symbol + 1]
-        for back in range(1, length):
-            symbol = text[ends - back]
-            below, upto = self.transform.rank(symbol, low, high)
-            low, high = self.smaller[symbol] + below, self.smaller[symbol] + upto
-        return low, high
+    def search(self, text: np.ndarray, ends: np.ndarray, length: int, until_single: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix intervals of the patterns of ``length`` symbols that end at the positions ``ends`` of a text (inclusive).
+
+        With ``until_single`` a pattern is followed only while its interval holds more than one suffix: the last one left is the
+        pattern's own place if the text is the indexed one.
+        """
+        lows, highs = np.empty(len(ends), np.int64), np.empty(len(ends), np.int64)
+        for start in range(0, len(ends), SEARCH_CHUNK):
+            end = ends[start : start + SEARCH_CHUNK]
+            low, high = self.smaller[text[end]], self.smaller[text[end] + 1]
+            live = np.arange(len(end))
+            for back in range(1, length):
+                if until_single:
+                    live = live[high[live] - low[live] > 1]
+                symbol = text[end[live] - back]
+                ranks = self.transform.rank(np.concatenate([symbol, symbol]), np.concatenate([low[live], high[live]]))
+                low[live] = self.smaller[symbol] + ranks[: len(live)]
+                high[live] = self.smaller[symbol] + ranks[len(live) :]
+            lows[start : start + len(end)], highs[start : start + len(end)] = low, high
+        return lows, highs
 
 
 def earliest(found: list[bytes], counts: np.ndarray, keys: np.ndarray, window: int) -> np.ndarray:
@@ -266,8 +277,8 @@ def earliest(found: list[bytes], counts: np.ndarray, keys: np.ndarray, window: i
     index = FMIndex(text, window)
     owner = keys[np.repeat(np.arange(len(found)), sizes + 1)][index.suffixes]
     offsets = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    low, high = index.search(text, np.repeat(firsts, counts) + offsets + window - 1, window)
-    # Intervals of different windows are disjoint: each is reduced once.
+    low, high = index.search(text, np.repeat(firsts, counts) + offsets + window - 1, window, until_single=True)
+    # Intervals of different windows are disjoint, and one left at a single suffix is in no other: each is reduced once.
     at, which = np.unique(low, return_inverse=True)
     stop = np.zeros(len(at), np.int64)
     stop[which] = high
@@ -292,16 +303,27 @@ def search_shards(distinct: DataFrame, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["unit", "context_key", "earliest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, words = [], 0
+        rows, words, unit = [], 0, []
         for batch in batches:
             for row in zip(*[batch[c].to_pylist() for c in ("unit", "context_key", "context", "n", "low", "high")]):
-                if words >= SHARD_WORDS and row[0] != rows[-1][0]:
-                    yield answer(rows)
-                    rows, words = [], 0
-                rows.append(row)
-                words += row[3] + window
+                if unit and row[0] != unit[-1][0]:
+                    if words >= SHARD_WORDS:
+                        yield answer(rows)
+                        rows, words = [], 0
+                    words += keep(unit, rows)
+                    unit = []
+                unit.append(row)
+        if unit:
+            keep(unit, rows)
         yield answer(rows)
 
+    def keep(unit: list[tuple], rows: list[tuple]) -> int:
+        """Add a unit to the shard unless one document has it all; returns its words."""
+        if min(r[4] for r in unit) == max(r[5] for r in unit):
+            return 0
+        rows += unit
+        return sum(r[3] + window for r in unit)
+
     dealt = distinct.repartition("unit").sortWithinPartitions("unit")
     columns = dealt.select("unit", "context_key", "context", "n", "low", "high")
     return columns.mapInArrow(run, "unit bigint, context_key bigint, earliest array<bigint>")
@@ -348,7 +370,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     buckets = max(1, -(-total // (5 * PAIRS_AT_ONCE // 2)))
 
     texts = df.select(sort_key.alias("key"), text_key(F.col(text)).alias("text_key"), utf8(F.col(text)).alias("utf8"))
-    listed = shared_units(texts, window, int(buckets)).groupBy("key").agg(F.flatten(F.collect_list("units")).alias("units"))
+    listed = shared_units(texts, window, int(buckets)).groupBy("key").agg(F.collect_list("unit").alias("units"))
     heads = rows.where((F.col("key") == F.col("first")) & (F.col("n_words") >= window)).select("key", "text_key").distinct()
     wanted = stored(heads.join(listed, "key"), "wanted")
     if _repeated(heads, rows):
@@ -358,11 +380,14 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     met = contexts(candidates, window)
     distinct = met.groupBy("unit", "context", "n").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     distinct = stored(distinct.withColumn("context_key", F.xxhash64("context")), "contexts")
-    sizes = distinct.groupBy("unit").agg(F.count(F.lit(1)).alias("rows"), (F.min("low") < F.max("high")).alias("several"))
-    live = distinct.join(sizes.where("several"), "unit")
-    found = search_shards(live.where(F.col("rows") <= UNIT_CONTEXTS), window).unionByName(
-        group_windows(live.where(F.col("rows") > UNIT_CONTEXTS), window)
-    )
+    sizes = distinct.groupBy("unit").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > UNIT_CONTEXTS)
+    large = stored(sizes.select("unit"), "large-units")
+    if large.limit(1).count():
+        small = search_shards(distinct.join(large, "unit", "left_anti"), window)
+        found = small.unionByName(group_windows(distinct.join(large, "unit", "left_semi"), window))
+    else:
+        # No unit is too large: the contexts are shuffled once, into their shards.
+        found = search_shards(distinct, window)
     found = stored(found, "found")
     places = met.select("unit", F.xxhash64("context").alias("context_key"), "key", "text_key", "start").join(found, ["unit", "context_key"])
     gone = F.filter(F.transform("earliest", lambda e, i: F.when(e < F.col("key"), F.col("start") + i)), lambda p: p.isNotNull())

@@ -352,13 +352,16 @@ def test_index_counts_occurrences():
         pattern = text[e - 4 : e + 1].tolist()
         places = [i for i in range(396) if text[i : i + 5].tolist() == pattern]
         assert sorted(index.suffixes[a:b].tolist()) == places
+    own_low, own_high = index.search(text, ends, 5, until_single=True)
+    for e, a, b, c, d in zip(ends, own_low, own_high, low, high):
+        assert (a, b) == (c, d) if d - c > 1 else b - a == 1 and e - 4 <= index.suffixes[a] <= e
 
 
 def test_wavelet_rank():
     values = np.random.default_rng(3).integers(0, 37, 500)
     matrix = substring.WaveletMatrix(values)
     symbols, ends = np.repeat(np.arange(37), 3), np.tile([0, 130, 500], 37)
-    below, upto = matrix.rank(symbols, ends // 2, ends)
+    below, upto = matrix.rank(symbols, ends // 2), matrix.rank(symbols, ends)
     assert upto.tolist() == [int((values[:e] == s).sum()) for s, e in zip(symbols, ends)]
     assert below.tolist() == [int((values[: e // 2] == s).sum()) for s, e in zip(symbols, ends)]
 
