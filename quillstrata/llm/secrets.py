@@ -129,9 +129,9 @@ class BlobLedger:
         new = stored(new.select("blob", "path", todo.alias("todo")).where(F.size("todo") > 0), "unseen")
         at, one = named.alias("v"), new.alias("n")
         chosen = at.join(one, F.expr("v.blob = n.blob and v.path <=> n.path")).select("n.blob", "v.text", "n.todo")
-        # Each test names the rules a blob still lacks, so it cannot run before the join, on texts that were scanned already.
-        tests = [F.array_contains("todo", r.version) & F.col("text").rlike(r.pattern) for r in rules]
-        texts = chosen.where(reduce(lambda a, b: a | b, tests))
+        # One expression over both sides of the join: it cannot be moved before it, to texts that were scanned already.
+        hit = [F.when(F.array_contains("todo", r.version) & F.col("text").rlike(r.pattern), r.version) for r in rules]
+        texts = chosen.where(F.size(F.array_compact(F.array(*hit))) > 0)
         # The few texts with a match, kept once for all rules.
         texts = stored(texts, "suspects").dropDuplicates(["blob"])
         found = reduce(DataFrame.unionByName, [rule_matches(texts, r) for r in rules])
