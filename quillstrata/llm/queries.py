@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstrata.llm import crf, decontam, divergence, langid, mixing, secrets, simhash, substring, toxicity, warc
 from quillstrata.llm.common import remainder
+from quillstrata.llm.duck import ORACLE  # noqa: F401  (part of this module's interface)
 
 
 def _table(spark, d, name):
@@ -98,20 +99,3 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_substring": op10_substring,
 }
-
-ORACLE: dict[str, str] = {
-    "op6_warc": """
-WITH p AS (
-  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
-), g AS (
-  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest,
-         max(page_id) OVER (PARTITION BY payload) AS top
-  FROM p
-)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to,
-       true AS verified
-FROM g
-""",
-}
