@@ -80,13 +80,19 @@ def language_groups(df: DataFrame, lang: str, least_share: float) -> DataFrame:
     return counts.where(F.col("grp").isNotNull() & (F.col("n") >= least)).select("grp")
 
 
-def common_words(texts: DataFrame, track: int = 20_000, keep: int = 25) -> dict[str, list[bytes]]:
-    """Most frequent words of each group, all texts counted: group -> at most ``keep`` words.
+def common_words(texts: DataFrame, held: int = 200_000, keep: int = 25) -> dict[str, list[bytes]]:
+    """Most frequent words of each group, every word of every text counted: group -> at most ``keep`` words.
 
-    Each task keeps at most ``2 * track`` counters per group and lowers them together when there are more, so
-    a word above 1/track of a task's words always survives; the counts of the survivors are summed.
+    A task holds about ``held`` counters; it hands them on when there are more and starts anew, so memory is bounded and the sums are exact.
     """
 
+    def handed_on(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for group, words in seen.items():
+            yield pa.RecordBatch.from_pydict(
+                {"grp": [group] * len(words), "word": list(words), "n": list(words.values())},
+                schema=pa.schema([("grp", pa.string()), ("word", pa.binary()), ("n", pa.int64())]),
+            )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
@@ -94,16 +100,10 @@ def common_words(texts: DataFrame, track: int = 20_000, keep: int = 25) -> dict[
                 part = batch.slice(first, BLOCK_ROWS)
                 for text, group in zip(part["utf8"].to_pylist(), part["grp"].to_pylist()):
                     seen[group].update(text.translate(ALNUM).split())
-                for group, words in seen.items():
-                    if len(words) > 2 * track:
-                        floor = sorted(words.values(), reverse=True)[track]
-                        seen[group] = Counter({w: n - floor for w, n in words.items() if n > floor})
-        for group, words in seen.items():
-            top = words.most_common(track)
-            yield pa.RecordBatch.from_pydict(
-                {"grp": [group] * len(top), "word": [w for w, _ in top], "n": [n for _, n in top]},
-                schema=pa.schema([("grp", pa.string()), ("word", pa.binary()), ("n", pa.int64())]),
-            )
+                if sum(map(len, seen.values())) > held:
+                    yield from handed_on(seen)
+                    seen.clear()
+        yield from handed_on(seen)
 
     counts = texts.mapInArrow(count, "grp string, word binary, n bigint").groupBy("grp", "word").agg(F.sum("n").alias("n"))
     ranked = _top(counts, keep)

@@ -1,6 +1,7 @@
 """The text operators against plain Python on whole small tables and on rows made to be awkward."""
 
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -89,10 +90,12 @@ def test_js_distance():
     assert divergence.js_distance(np.array([[3.0, 0.0]]), np.array([0.0, 4.0]))[0] == 1.0
 
 
-def test_common_words_survive_small_counters(spark):
-    words = " ".join(f"w{i} the" for i in range(3000))
-    df = spark.createDataFrame([(words,)] * 4, "text string").select(F.encode("text", "utf-8").alias("utf8"), F.lit("g").alias("grp"))
-    assert divergence.common_words(df.repartition(2), track=50, keep=1) == {"g": [b"the"]}
+def test_common_words_are_exact_whatever_a_task_holds(spark, documents):
+    df = spark.createDataFrame([(t, "g") for _, t in documents], "utf8 string, grp string").withColumn("utf8", F.encode("utf8", "UTF-8"))
+    times = Counter(w for _, t in documents for w in brute.bare_words(t))
+    expected = [w.encode() for w, _ in sorted(times.items(), key=lambda wn: (-wn[1], wn[0].encode()))[:30]]
+    for held in (10, 200_000):
+        assert divergence.common_words(df.repartition(3), held=held, keep=30) == {"g": expected}
 
 
 # --- 2
