@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstrata.llm.common import shared_folder, stored
+from quillstrata.plans.skew import HEAVY_ROWS, lookup
 
 
 @dataclass(frozen=True)
@@ -141,7 +142,8 @@ class BlobLedger:
 
 
 def scan_secrets(
-    versions: DataFrame, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, folder: str | None = None
+    versions: DataFrame, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, folder: str | None = None,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """(path, blob, spans array<struct<start, rank, kind, end>>), in order, one row per row of ``versions``.
 
@@ -155,4 +157,5 @@ def scan_secrets(
         F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans")
     )
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
-    return paths.join(spans, "blob", "left").select(F.col("path").alias(path), "blob", F.coalesce("spans", none).alias("spans"))
+    # One blob may have a third of the paths: beyond a size they are dealt to many tasks.
+    return lookup(paths, spans, ["blob"], "path", paths.count(), heavy_rows).select(F.col("path").alias(path), "blob", F.coalesce("spans", none).alias("spans"))

@@ -21,6 +21,7 @@ from xxhash import xxh64_intdigest
 
 from quillstrata.llm.common import map_blocks, stored, text_key, utf8
 from quillstrata.operators.clusters import connected_components
+from quillstrata.plans.skew import HEAVY_ROWS, lookup
 
 SHINGLE = 3
 DISTANCE = 3
@@ -120,7 +121,7 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
     return map_blocks(units.select("members"), link, "src bigint, dst bigint").distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(key, text_key, fingerprint bigint, component bigint, component_id), one row per row.
 
     ``component`` is the smallest fingerprint of the component, ``component_id`` its smallest key.
@@ -133,7 +134,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     components = placed.join(named, "root").select("fingerprint", F.col("root").alias("component"), "component_id")
-    return table.join(components, "fingerprint", "left").select(key, "text_key", "fingerprint", "component", "component_id")
+    # A group of copies may hold a third of the rows: beyond a size its rows are dealt to many tasks.
+    return lookup(table, components, ["fingerprint"], key, table.count(), heavy_rows).select(key, "text_key", "fingerprint", "component", "component_id")
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

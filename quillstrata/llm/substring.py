@@ -30,6 +30,7 @@ from xxhash import xxh3_64_intdigest
 
 from quillstrata.llm.common import map_blocks, stored, text_key, utf8
 from quillstrata.llm.decontam import combine
+from quillstrata.plans.skew import HEAVY_ROWS, lookup
 
 GRAM = 4
 NO_KEY = (1 << 63) - 1
@@ -346,7 +347,7 @@ def group_windows(distinct: DataFrame, window: int) -> DataFrame:
 # --- the operator
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, keep_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, keep_text: bool = False, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(key, text_key, n_words, n_removed, kept_sha256[, kept]), one row per row; ``kept`` is the kept words joined by spaces."""
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.trim(F.regexp_replace(body, r"[ \t-\r]+", " "))
@@ -364,7 +365,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
         "texts",
     )
     classes = base.groupBy("content").agg(F.min("key").alias("first"))
-    rows = stored(base.join(classes, "content").drop("content"), "classes")
+    # A group of copies may hold a third of the rows: beyond a size its rows are dealt to many tasks.
+    rows = stored(lookup(base, classes, ["content"], "key", base.count(), heavy_rows).drop("content"), "classes")
     total = rows.where(F.col("key") == F.col("first")).agg(F.sum("n_words")).first()[0] or 0
     # A fifth of the words begin a unit, about.
     buckets = max(1, -(-total // (5 * PAIRS_AT_ONCE // 2)))

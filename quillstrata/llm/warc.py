@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstrata.llm.common import shared_folder, stored, utf8
+from quillstrata.plans.skew import HEAVY_ROWS, lookup
 
 GZIP = 31
 READ_BYTES = 1 << 16
@@ -80,6 +81,7 @@ def write_archives(
     html: str = "html",
     least: int = 1000,
     max_file_bytes: int = 64 << 20,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Write a record per row under ``folder``; returns the manifest (path, records, bytes)."""
     payload = utf8(F.col(html))
@@ -90,7 +92,7 @@ def write_archives(
     named = stored(rows.where(F.octet_length("payload") >= least).select("key", "content"), "payloads")
     first = named.groupBy("content").agg(F.max("key").alias("response"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     revisits = (
-        named.join(first, "content").where(F.col("response").isNotNull() & ~F.col("key").eqNullSafe(F.col("response")))
+        lookup(named, first, ["content"], "key", named.count(), heavy_rows).where(F.col("response").isNotNull() & ~F.col("key").eqNullSafe(F.col("response")))
         .select("key", "content", "response").distinct()
     )
     r, v = rows.alias("r"), stored(revisits, "revisits").alias("v")

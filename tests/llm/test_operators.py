@@ -344,6 +344,15 @@ def test_repeats_with_small_shards_and_hot_units(spark, documents, sf_dir, monke
     assert got(found, ["doc_id", "n_words", "n_removed", "kept_sha256"]) == sorted(((k, *expected[k, t]) for k, t in documents), key=repr)
 
 
+@pytest.mark.parametrize("operator", [secrets.scan_secrets, simhash.near_duplicates, substring.remove_repeats])
+def test_groups_of_copies_dealt_to_parts(awkward, operator):
+    """With a limit of two rows every group of copies is a heavy one; the rows stay the same."""
+    copies = awkward.unionByName(awkward.where("doc_id in (1, 10, 16)").withColumn("doc_id", F.expr("doc_id + 1000")))
+    plain, dealt = operator(copies), operator(copies, heavy_rows=2)
+    assert got(dealt, dealt.columns) == got(plain, dealt.columns)
+    assert dealt.count() == copies.count()
+
+
 def test_index_counts_occurrences():
     draw = np.random.default_rng(2)
     text = draw.integers(1, 4, 400)
