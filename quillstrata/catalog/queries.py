@@ -321,6 +321,11 @@ def jaccard_verify(spark, d):
     return neardup.jaccard_verify(links, views.documents(spark, d), "text", "doc_id")
 
 
+def verified_links(spark, d):
+    """Verified links between documents that lose no connection by a pair of a shared bucket."""
+    return clusters.verified_links(cut_lineage(_bands(spark, d)), views.documents(spark, d), "text", "doc_id")
+
+
 def _clustered(spark, d, mode: str = "components") -> DataFrame:
     df = clusters.cluster_ids(views.documents(spark, d).select("doc_id", "text"), "text", "doc_id", mode=mode)
     return df.select("doc_id", "cluster_id")
@@ -597,6 +602,7 @@ QUERIES = {
     "near_dup_candidates": near_dup_candidates,
     "near_dup_lookup": near_dup_lookup,
     "jaccard_verify": jaccard_verify,
+    "verified_links": verified_links,
     "cluster_ids": cluster_ids,
     "cluster_ids_star": cluster_ids_star,
     "cluster_sizes": cluster_sizes,

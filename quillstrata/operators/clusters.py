@@ -8,12 +8,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstrata.functions.hashing import order_key
-from quillstrata.operators.neardup import DEFAULT_PERMUTATIONS, DEFAULT_THRESHOLD, lsh_bands
+from quillstrata.functions.text import clustering_text
+from quillstrata.operators.neardup import (
+    DEFAULT_PERMUTATIONS,
+    DEFAULT_THRESHOLD,
+    lsh_bands,
+    near_dup_candidates,
+    shingle_sets,
+    verify_sets,
+)
 from quillstrata.plans.skew import HEAVY_ROWS, lookup
 from quillstrata.session import cut_lineage
 
 # Sub-groups a bucket is dealt to before its members are linked.
 BUCKET_PARTS = 4096
+# Members of a bucket on each side of a unit when groups are compared with each other.
+PAIR_ROWS = 1000
+# Stars among the members that failed end when so many rounds leave more than half of them; the rest is compared directly.
+STALE_ROUNDS = 8
 
 
 def bucket_edges(bands: DataFrame, key: str, parts: int = BUCKET_PARTS) -> DataFrame:
@@ -71,6 +83,58 @@ def connected_components(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> Data
             return edges.select(F.col("src").alias("id"), F.col("dst").alias("root"))
 
 
+def verified_links(
+    bands: DataFrame, df: DataFrame, text_col: str, key: str, threshold: float = DEFAULT_THRESHOLD, pair_rows: int = PAIR_ROWS
+) -> DataFrame:
+    """(key, anchor_id, shared, total, jaccard): verified links that connect whatever a pair of texts in a shared bucket connects.
+
+    Equal texts hang on their smallest key and are left aside. In each bucket the others are compared with the smallest key, those that
+    fail with the smallest of them, and so on while ``STALE_ROUNDS`` rounds clear half of what is left. Texts of a bucket that are then in different
+    groups are compared directly, those of its largest group only with the others: two texts that never meet are in one
+    group. Such pairs are dealt to units of ``pair_rows`` by ``pair_rows`` texts.
+    ``bands`` should be materialized.
+    """
+    sets = shingle_sets(df, text_col, key)
+    named = cut_lineage(df.select(key, F.md5(F.coalesce(clustering_text(F.col(text_col)), F.lit(""))).alias("digest")))
+    firsts = named.groupBy("digest").agg(F.min(key).alias("anchor_id"))
+    same = cut_lineage(lookup(named, firsts, ["digest"], key, named.count()).select(key, "anchor_id"))
+    texts = same.where(F.col("anchor_id") == F.col(key)).select(key)
+    members = cut_lineage(shared_bands(bands.select(key, "bucket").join(texts, key, "left_semi"), key))
+    found = [cut_lineage(verify_sets(same.where(F.col("anchor_id") < F.col(key)), sets, key, threshold=threshold))]
+    left, counts = members, [members.count()]
+    while counts[-1]:
+        star = cut_lineage(near_dup_candidates(left, key))
+        passed = cut_lineage(verify_sets(star, sets, key, threshold=threshold))
+        found.append(passed)
+        anchors = left.groupBy("bucket").agg(F.min(key).alias("anchor_id"))
+        hung = lookup(left, anchors, ["bucket"], key, counts[-1]).where(F.col("anchor_id") < F.col(key))
+        left = cut_lineage(hung.join(passed, [key, "anchor_id"], "left_anti").select(key, "bucket"))
+        counts.append(left.count())
+        if len(counts) > STALE_ROUNDS and counts[-1] * 2 > counts[-1 - STALE_ROUNDS]:
+            break
+    links = cut_lineage(_union(found))
+    roots = connected_components(links.select(F.col(key).alias("src"), F.col("anchor_id").alias("dst")))
+    sizes = sets.select(F.col("_id").alias(key), F.size("_set").alias("size"))
+    grouped = members.join(roots.withColumnRenamed("id", key), key, "left").join(sizes, key)
+    grouped = cut_lineage(grouped.select(key, "bucket", F.coalesce("root", F.col(key)).alias("root"), "size"))
+    counted = grouped.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    still = counted.groupBy("bucket").agg(
+        F.max_by("root", "n").alias("largest"), F.ceil(F.sum("n") / pair_rows).cast("int").alias("parts"), F.count(F.lit(1)).alias("groups")
+    )
+    still = still.where(F.col("groups") > 1).select("bucket", "largest", "parts")
+    inside = cut_lineage(lookup(grouped, still, ["bucket"], key, grouped.count()).where(F.col("parts").isNotNull()))
+    part, every = F.pmod(F.xxhash64(key), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asked = inside.where(F.col("root") != F.col("largest")).select(
+        "bucket", part.alias("i"), every.alias("j"), F.col(key).alias("_a"), F.col("root").alias("_root_a"), F.col("size").alias("_size_a")
+    )
+    others = inside.select("bucket", part.alias("j"), every.alias("i"), F.col(key).alias("_b"), F.col("root").alias("_root_b"), F.col("size").alias("_size_b"))
+    # Sets whose sizes are too far apart cannot reach the threshold.
+    near = F.least("_size_a", "_size_b") >= F.greatest("_size_a", "_size_b") * F.lit(threshold)
+    pairs = asked.join(others, ["bucket", "i", "j"]).where((F.col("_root_a") != F.col("_root_b")) & near)
+    pairs = cut_lineage(pairs.select(F.greatest("_a", "_b").alias(key), F.least("_a", "_b").alias("anchor_id")).distinct())
+    return links.unionByName(verify_sets(pairs, sets, key, threshold=threshold)).distinct()
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 

@@ -118,7 +118,18 @@ def jaccard_verify(
     Shingle sets are joined to each end by key, as one array per text: the table of shingles is never shuffled by shingle, and
     links are stars, so there is about one per text. An anchor of many texts is one row on the side looked up. Sets hold 64-bit hashes.
     """
-    sets = cut_lineage(df.select(F.col(key).alias("_id"), F.transform(word_shingles(F.col(text_col)), lambda s: F.xxhash64(s)).alias("_set")))
+    return verify_sets(links, shingle_sets(df, text_col, key), key, other, threshold)
+
+
+def shingle_sets(df: DataFrame, text_col: str, key: str) -> DataFrame:
+    """(_id, _set): the shingle set of every text as an array of 64-bit hashes, stored once."""
+    return cut_lineage(df.select(F.col(key).alias("_id"), F.transform(word_shingles(F.col(text_col)), lambda s: F.xxhash64(s)).alias("_set")))
+
+
+def verify_sets(
+    links: DataFrame, sets: DataFrame, key: str, other: str = "anchor_id", threshold: float = DEFAULT_THRESHOLD
+) -> DataFrame:
+    """``jaccard_verify`` over stored ``shingle_sets``."""
     total = links.count()
     first = links.join(sets.select(F.col("_id").alias(key), F.col("_set").alias("_left")), key)
     both = lookup(first, sets.select(F.col("_id").alias(other), F.col("_set").alias("_right")), [other], key, total)

@@ -152,3 +152,34 @@ def test_lookup_splits_heavy_keys_without_loss(spark):
     assert got.count() == 1000
     counts = {r.v: r["count"] for r in got.groupBy("v").count().collect()}
     assert counts == {"hot": 700, "cold": 1, None: 299}
+
+
+def test_verified_links_lose_no_connection(spark):
+    def jaccard(a, b):
+        return len(a & b) / len(a | b)
+
+    # 1 is far from all; 2 and 3 are alike; 4 is like 3 but not like 2; 6 is a copy of 5, alone; 7 to 30 are a template.
+    words = [f"w{i}" for i in range(60)]
+    chain = [" ".join(words[k : k + 50]) for k in (0, 4, 8)]
+    template = [" ".join([f"t{i}" for i in range(50)] + [f"x{k}"]) for k in range(24)]
+    texts = ["far from all of them", *chain, "alone with a copy", "alone  with a COPY", *template]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "id long, t string")
+    bands = df.select("id", F.lit(b"hot").alias("bucket"))
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, w in ((i, t.lower().split()) for i, t in enumerate(texts, 1))}
+    real = {(b, a) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8}
+    assert (3, 2) in real and (4, 3) in real and (4, 2) not in real
+    for pair_rows in (1000, 4):
+        found = {(r.id, r.anchor_id): r.jaccard for r in C.verified_links(bands, df, "t", "id", pair_rows=pair_rows).collect()}
+        assert set(found) <= real and all(abs(v - jaccard(sets[b], sets[a])) < 1e-5 for (b, a), v in found.items())
+
+        def groups(pairs):
+            root = {i: i for i in sets}
+            for _ in root:
+                for b, a in pairs:
+                    root[b] = root[a] = min(root[b], root[a])
+            return root
+
+        assert groups(found) == groups(real)
+        assert len(found) < len(real) / 2
+    star = N.near_dup_candidates(bands, "id")
+    assert N.jaccard_verify(star, df, "t", "id").count() == 0
