@@ -305,14 +305,26 @@ def near_dup_candidates(spark, d):
     return neardup.near_dup_candidates(cut_lineage(_bands(spark, d)), "doc_id")
 
 
-def near_dup_lookup(spark, d):
-    """Neighbours in the documents of every benchmark text, every user turn and every document."""
+def _lookup_queries(spark, d) -> DataFrame:
     items = views.table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("query_id"), "text")
     turns = views.table(spark, d, "conversations").where("role = 'user'")
     asked = turns.select(F.concat(F.lit("c"), F.concat_ws(":", "conv_id", "turn")).alias("query_id"), "text")
     docs = views.documents(spark, d).select(F.concat(F.lit("d"), "doc_id").alias("query_id"), "text")
-    queries = items.unionByName(asked).unionByName(docs)
-    return neardup.near_dup_lookup(queries, "text", "query_id", views.documents(spark, d), "text", "doc_id")
+    return items.unionByName(asked).unionByName(docs)
+
+
+def near_dup_lookup(spark, d):
+    """Neighbours in the documents of every benchmark text, every user turn and every document."""
+    return neardup.near_dup_lookup(_lookup_queries(spark, d), "text", "query_id", views.documents(spark, d), "text", "doc_id")
+
+
+def near_dup_members(spark, d):
+    """(side, key, first) of every row of either side of ``near_dup_lookup``: the group it belongs to."""
+    asked = neardup.signature_members(_lookup_queries(spark, d), "text", "query_id")
+    held = neardup.signature_members(views.documents(spark, d), "text", "doc_id")
+    sides = [df.select(F.lit(side).alias("side"), F.col(df.columns[0]).cast("string").alias("key"), F.col("first").cast("string").alias("first"))
+             for side, df in (("query", asked), ("corpus", held))]
+    return sides[0].unionByName(sides[1])
 
 
 def jaccard_verify(spark, d):
@@ -601,6 +613,7 @@ QUERIES = {
     "lsh_bands": lsh_bands,
     "near_dup_candidates": near_dup_candidates,
     "near_dup_lookup": near_dup_lookup,
+    "near_dup_members": near_dup_members,
     "jaccard_verify": jaccard_verify,
     "verified_links": verified_links,
     "cluster_ids": cluster_ids,

@@ -80,6 +80,14 @@ def _signature_groups(df: DataFrame, text: str, key: str, num_perm: int, name: s
     return signed.groupBy("signature").agg(F.min(key).alias(f"{name}_first"), F.count(F.lit(1)).alias(f"{name}_size"))
 
 
+def signature_members(df: DataFrame, text: str, key: str, num_perm: int = DEFAULT_PERMUTATIONS, heavy_rows: int | None = None) -> DataFrame:
+    """(key, first), one row per row of ``df``: the smallest key among the rows of equal signature, which names the group in ``near_dup_lookup``."""
+    signed = cut_lineage(minhash_signature(df, text, key, num_perm))
+    firsts = signed.groupBy("signature").agg(F.min(key).alias("first"))
+    options = {} if heavy_rows is None else {"heavy_rows": heavy_rows}
+    return lookup(signed, firsts, ["signature"], key, signed.count(), **options).select(key, "first")
+
+
 def near_dup_lookup(
     queries: DataFrame,
     query_text: str,
@@ -93,6 +101,7 @@ def near_dup_lookup(
     """(query_first, query_size, corpus_first, corpus_size): groups of equal signatures on both sides that share a bucket.
 
     A group is named by its smallest key and stands for ``size`` rows, so a bucket full of copies asked for by many copies is one row.
+    ``signature_members`` has the rows of each group.
     The query bands are stored once; they are broadcast after their number has been checked, beyond that both sides are
     shuffled on the bucket and adaptive execution splits an uneven one.
     """

@@ -1,9 +1,10 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from quillstrata.functions.hashing import MERSENNE_31, band_shape, permutations, word_weights
 from quillstrata.operators import clusters as C
 from quillstrata.operators import neardup as N
@@ -183,3 +184,21 @@ def test_verified_links_lose_no_connection(spark):
         assert len(found) < len(real) / 2
     star = N.near_dup_candidates(bands, "id")
     assert N.jaccard_verify(star, df, "t", "id").count() == 0
+
+
+def test_lookup_groups_have_their_members(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(10, base), (3, base + " tail"), (7, "quite another text about nothing"), (11, base.upper()), (12, base)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    for options in ({}, {"heavy_rows": 2}):
+        members = {r.id: r.first for r in N.signature_members(df, "t", "id", **options).collect()}
+        assert members == {3: 3, 7: 7, 10: 10, 11: 10, 12: 10}
+
+
+def test_members_rebuild_the_sizes_of_a_lookup(spark, sf_dir):
+    found = queries()["near_dup_lookup"](spark, sf_dir).collect()
+    members = queries()["near_dup_members"](spark, sf_dir).collect()
+    sizes = Counter((r.side, r.first) for r in members)
+    assert len({(r.side, r.key) for r in members}) == len(members)
+    assert all(sizes["query", r.query_first] == r.query_size and sizes["corpus", str(r.corpus_first)] == r.corpus_size for r in found)
+    assert {r.key for r in members if r.side == "corpus"} == {str(r.doc_id) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
