@@ -98,6 +98,31 @@ def test_common_words_are_exact_whatever_a_task_holds(spark, documents):
         assert divergence.common_words(df.repartition(3), held=held, keep=30) == {"g": expected}
 
 
+def test_rare_languages_have_their_own_reference(spark):
+    rng = random.Random(5)
+    letters = {"aa": "abcdefgh", "bb": "ABCDEFGH", "cc": "дежзиклм", "few": "0123456", None: "$%&#*|<>"}
+
+    def text(lang, words=200):
+        vocabulary = ["".join(rng.choices(letters[lang], k=4)) for _ in range(30)]
+        return " ".join(rng.choice(vocabulary) + letters[lang][k % 7] + str(k) for k in range(words))
+
+    docs = [(lang, text(lang)) for lang, n in (("aa", 90), ("bb", 60), ("cc", 60), ("few", 3), (None, 5)) for _ in range(n)]
+    strays = [("bb", text("cc")), ("cc", text("aa"))]
+    # Filler far beyond 1,000 rows for each of the others makes their languages rare.
+    rows = [(i, t, g) for i, (g, t) in enumerate(docs + strays)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    filler = spark.range(1000, 121_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"))
+    df = df.unionByName(filler)
+    results = []
+    for options in ({}, {"held_languages": 0}, {"held_languages": 0, "heavy_rows": 1000}):
+        found = divergence.quality_verdicts(df, **options).where("doc_id < 1000").collect()
+        results.append(sorted((r.doc_id, r.kept, round(r.class_distance, 9), round(r.word_distance, 9)) for r in found))
+        kept = {r.doc_id: r.kept for r in found}
+        assert [kept[i] for i in range(len(docs))] == [True] * len(docs)
+        assert [kept[i] for i in range(len(docs), len(rows))] == [False] * len(strays)
+    assert results[0] == results[1] == results[2]
+
+
 # --- 2
 
 
