@@ -4,7 +4,9 @@ from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from quillstrata.operators.chat import format_sft, sft_roundtrip, sft_step_budget
 from quillstrata.schema import RECORD_SCHEMA
 from quillstrata.sources import provenance, records as R, sinks
@@ -126,3 +128,15 @@ def test_split_parquet_prunes(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s")).where("split = 'val'")
     assert [r.id for r in back.collect()] == [2]
     assert "PartitionFilters: [isnotnull(split" in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_file_queries_take_files_beyond_the_row_limit(spark, sf_dir):
+    path = Path(f"{sf_dir}/documents.parquet")
+    whole = spark.read.format("binaryFile").load(str(path)).select("path", F.sha2("content", 256), "length").collect()
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, "1000")
+    try:
+        assert [tuple(r) for r in queries()["file_digests"](spark, sf_dir).collect()] == [tuple(r) for r in whole]
+        assert tuple(queries()["file_sha256"](spark, sf_dir).first()) == (True, True)
+    finally:
+        spark.conf.unset(limit)
