@@ -12,14 +12,17 @@ one named ``mix`` is replaced, and names that begin with ``_odds`` are reserved.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstrata.llm.common import stored, text_key
 
 MARGINS = ("source", "lang", "topic")
-# A table of that many cells (a few MB) is broadcast; a larger one is joined by shuffle.
+# A table of that many cells (a few MB) is broadcast, and raked on the driver; a larger one is joined by shuffle.
 BROADCAST_CELLS = 20_000
+# Weights, which add up to 1, no longer move when a round shifts less than this.
+STILL = 1e-10
 
 
 def token_count(text: Column) -> Column:
@@ -46,12 +49,12 @@ def tempered_targets(cells: DataFrame, margin: str, exponent: float) -> DataFram
 
 
 def rake(
-    cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6, max_rounds: int = 60
+    cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6, held_cells: int = BROADCAST_CELLS
 ) -> tuple[DataFrame, float]:
     """Cells with ``weight`` (sum 1) fitted to the targets, and the largest relative deviation of a margin left.
 
-    ``cells`` has a row per cell with ``tokens`` > 0. One round scales each margin in turn. Rounds end at the tolerance, when the deviation
-    no longer falls (targets that contradict empty cells have no exact fit), or after ``max_rounds``.
+    ``cells`` has a row per cell with ``tokens`` > 0. One round scales each margin in turn. Rounds end at the tolerance, or when the weights
+    no longer move (targets that contradict empty cells have no exact fit). At most ``held_cells`` cells are fitted on the driver.
     """
     margins = list(targets)
     total = cells.agg(F.sum("tokens")).first()[0]
@@ -66,8 +69,10 @@ def rake(
         goals[m] = stored(there.select(m, (F.col("share") / F.lit(whole)).alias("goal")), f"goal-{m}")
         kept = kept.join(goals[m].select(m), m, "left_semi")
     kept = stored(kept, "cells")
-    before = None
-    for _ in range(max_rounds):
+    if kept.count() <= held_cells:
+        return _rake_held(kept, goals, tolerance)
+    while True:
+        kept = kept.withColumn("before", F.col("weight"))
         for m in margins:
             sums = kept.groupBy(m).agg(F.sum("weight").alias("now"))
             scale = sums.join(goals[m], m).select(m, (F.col("goal") / F.col("now")).alias("scale"))
@@ -78,10 +83,36 @@ def rake(
             sums = kept.groupBy(m).agg(F.sum("weight").alias("now")).join(goals[m], m)
             worst = sums.agg(F.max(F.abs(F.col("now") / F.col("goal") - 1))).first()[0]
             apart = max(apart, worst or 0.0)
-        if apart <= tolerance or before is not None and apart > before * 0.999:
+        moved = kept.agg(F.sum(F.abs(F.col("weight") - F.col("before")))).first()[0] or 0.0
+        kept = kept.drop("before")
+        if apart <= tolerance or moved <= STILL:
+            return kept, apart
+
+
+def _rake_held(kept: DataFrame, goals: dict[str, DataFrame], tolerance: float) -> tuple[DataFrame, float]:
+    """The rounds of ``rake`` over a small table of cells, in a fixed order."""
+    rows = sorted(kept.collect(), key=repr)
+    weight = np.array([r["weight"] for r in rows])
+    margins = []
+    for m, table in goals.items():
+        names = sorted({r[m] for r in rows})
+        place = {v: i for i, v in enumerate(names)}
+        # Only values of these cells, of which there are few.
+        shares = {r[m]: r["goal"] for r in table.join(kept.select(m).distinct(), m, "left_semi").collect()}
+        margins.append((np.array([place[r[m]] for r in rows], dtype=int), np.array([shares[v] for v in names])))
+    apart = 0.0
+    while rows:
+        before = weight
+        for at, goal in margins:
+            now = np.bincount(at, weight, len(goal))
+            weight = weight * np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[at]
+        apart = max((float(np.abs(np.bincount(at, weight, len(goal)) / goal - 1).max()) for at, goal in margins[:-1]), default=0.0)
+        if apart <= tolerance or np.abs(weight - before).sum() <= STILL:
             break
-        before = apart
-    return kept, apart
+    fitted = [(*(r[c] for c in kept.columns if c != "weight"), float(w)) for r, w in zip(rows, weight)]
+    others = [c for c in kept.columns if c != "weight"]
+    made = kept.sparkSession.createDataFrame(fitted, kept.select(*others, "weight").schema)
+    return made.select(*kept.columns), apart
 
 
 def calibrate(weighted: DataFrame, budget: float) -> DataFrame:
@@ -117,9 +148,10 @@ def mix(
     fraction: float = 0.5,
     seed: int = 42,
 ) -> DataFrame:
-    """Every column of ``df`` and a struct ``mix`` (source, lang, topic, n_tokens, probability, sampled).
+    """Every column of ``df`` and a struct ``mix`` (source, lang, topic, n_tokens, probability, sampled, deviation).
 
     ``fraction`` of all tokens is expected in the sample. ``targets`` has (value, share) tables by margin; tempered shares by default.
+    ``deviation`` is the largest relative deviation of the fitted weights from a margin's targets, equal in all rows.
     """
     facts = df.withColumn(
         "mix",
@@ -133,7 +165,7 @@ def mix(
     sums = facts.groupBy(*[F.col(f"mix.{m}").alias(m) for m in MARGINS]).agg(F.sum("mix.n_tokens").alias("tokens"))
     cells = stored(sums.where(F.col("tokens") > 0), "cell-sums")
     goals = targets or {m: tempered_targets(cells, m, exponent) for m in MARGINS}
-    weighted, _ = rake(cells, goals)
+    weighted, apart = rake(cells, goals)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     odds = stored(calibrate(weighted, fraction * total).select(*[F.col(m).alias(f"_odds_{m}") for m in MARGINS], F.col("probability").alias("_odds")), "odds")
     if odds.count() <= BROADCAST_CELLS:
@@ -143,6 +175,6 @@ def mix(
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), text_key(F.col(text))), 11) / F.lit(float(1 << 53))
     chance = F.coalesce("_odds", F.lit(0.0))
     placed = facts.join(odds, here, "left").withColumn(
-        "mix", F.col("mix").withField("probability", chance).withField("sampled", draw < chance)
+        "mix", F.col("mix").withField("probability", chance).withField("sampled", draw < chance).withField("deviation", F.lit(apart))
     )
     return placed.select(*[F.col(f"`{c}`") for c in df.columns if c != "mix"], "mix")

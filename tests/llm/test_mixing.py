@@ -86,3 +86,27 @@ def test_calibrate_caps_at_one(spark):
     odds = {r.source: r.probability for r in mixing.calibrate(cells, 55.0).collect()}
     assert odds == {"a": 1.0, "b": pytest.approx(0.5)}
     assert np.allclose([r.probability for r in mixing.calibrate(cells, 1000.0).collect()], 1.0)
+
+
+def test_slow_fits_reach_their_targets_and_the_deviation_is_returned(spark):
+    names = "source string, lang string, tokens bigint"
+    cells = spark.createDataFrame([("a", "x", 10**6), ("b", "y", 10**6), ("a", "y", 1)], names)
+    goal = {
+        "source": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "source string, share double"),
+        "lang": spark.createDataFrame([("x", 0.45), ("y", 0.55)], "lang string, share double"),
+    }
+    raked, apart = mixing.rake(cells, goal)
+    weights = {(r.source, r.lang): r.weight for r in raked.collect()}
+    assert apart <= 1e-6
+    assert weights == {("a", "x"): pytest.approx(0.45), ("b", "y"): pytest.approx(0.5), ("a", "y"): pytest.approx(0.05, rel=1e-4)}
+    near = spark.createDataFrame([("a", "x", 5), ("b", "y", 7), ("a", "y", 2), ("b", "x", 3)], names)
+    both = [{(r.source, r.lang): r.weight for r in mixing.rake(near, goal, held_cells=n)[0].collect()} for n in (0, 100)]
+    assert both[0] == pytest.approx(both[1], rel=1e-9)
+    rows = [(i, "w " * 5, s, g) for i, (s, g) in enumerate([("a", "x"), ("b", "y")] * 10)]
+    contrary = {
+        "source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, share double"),
+        "lang": goal["lang"],
+        "topic": spark.createDataFrame([("t", 1.0)], "topic string, share double"),
+    }
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string"), F.lit("t"), targets=contrary)
+    assert {round(r.mix.deviation, 3) for r in mixed.collect()} == {4.5}
