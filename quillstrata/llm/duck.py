@@ -122,4 +122,30 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
-ORACLE = {"op4_blob_ledger": SECRETS, "op6_warc": WARC, "op9_decontaminate": DECONTAMINATE, "op10_substring": SUBSTRING}
+FILL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t
+  FROM documents
+), c AS (
+  SELECT doc_id, text, t, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS UBIGINT)) AS r FROM d
+), f AS (
+  SELECT doc_id, text, t, CAST(least(r[1] % (len(t) + 1), r[2] % (len(t) + 1)) AS BIGINT) AS a,
+         CAST(greatest(r[1] % (len(t) + 1), r[2] % (len(t) + 1)) AS BIGINT) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain'
+              WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM c
+), p AS (
+  SELECT doc_id, text, form, CAST(len(t) AS BIGINT) AS n, array_to_string(t[1:a], '') AS prefix,
+         array_to_string(t[a + 1 : b], '') AS middle, array_to_string(t[b + 1 :], '') AS suffix
+  FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLE = {"op4_blob_ledger": SECRETS, "op6_warc": WARC, "op9_decontaminate": DECONTAMINATE, "op10_substring": SUBSTRING, "op13_fill_in_middle": FILL}
