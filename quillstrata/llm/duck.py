@@ -122,6 +122,48 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
+PHRASES = rf"""
+WITH pieces AS (
+  SELECT lang, piece, row_number() OVER () AS id
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+  )
+), words AS (
+  SELECT lang, id, unnest(w) AS w, unnest(range(len(w))) AS p FROM (SELECT lang, id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces)
+), grams AS (
+  SELECT lang, w AS w1, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY id ORDER BY p)
+), f1 AS MATERIALIZED (
+  SELECT lang, w1, count(*) AS f FROM grams GROUP BY ALL
+), f2 AS MATERIALIZED (
+  SELECT lang, w1, w2, count(*) AS f FROM grams WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), f3 AS MATERIALIZED (
+  SELECT lang, w1, w2, w3, count(*) AS f FROM grams WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), held AS (
+  SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, 1 AS k, c.f AS a, l.f AS l, r.f AS r
+  FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.w1 = c.w1 JOIN f1 r ON r.lang = c.lang AND r.w1 = c.w2
+  LEFT JOIN held h ON h.lang = c.lang AND h.w1 = c.w1 AND h.w2 = c.w2
+  WHERE h.f IS NULL OR 100 * h.f < 50 * c.f
+  UNION ALL
+  SELECT c.lang, concat_ws(' ', c.w1, c.w2, c.w3), 1, c.f, l.f, r.f
+  FROM f3 c JOIN f1 l ON l.lang = c.lang AND l.w1 = c.w1 JOIN f2 r ON r.lang = c.lang AND r.w1 = c.w2 AND r.w2 = c.w3
+  UNION ALL
+  SELECT c.lang, concat_ws(' ', c.w1, c.w2, c.w3), 2, c.f, l.f, r.f
+  FROM f3 c JOIN f2 l ON l.lang = c.lang AND l.w1 = c.w1 AND l.w2 = c.w2 JOIN f1 r ON r.lang = c.lang AND r.w1 = c.w3
+), scored AS (
+  SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+), sizes AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
 FILL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
@@ -148,4 +190,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
 FROM p
 """
 
-ORACLE = {"op4_blob_ledger": SECRETS, "op6_warc": WARC, "op9_decontaminate": DECONTAMINATE, "op10_substring": SUBSTRING, "op13_fill_in_middle": FILL}
+ORACLE = {"op4_blob_ledger": SECRETS, "op6_warc": WARC, "op9_decontaminate": DECONTAMINATE, "op10_substring": SUBSTRING, "op12_collocations": PHRASES, "op13_fill_in_middle": FILL}

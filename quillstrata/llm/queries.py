@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstrata.llm import crf, decontam, divergence, infill, langid, mixing, secrets, simhash, substring, toxicity, warc
+from quillstrata.llm import collocations, crf, decontam, divergence, infill, langid, mixing, secrets, simhash, substring, toxicity, warc
 from quillstrata.llm.common import remainder
 from quillstrata.llm.duck import ORACLE  # noqa: F401  (part of this module's interface)
 
@@ -87,6 +87,10 @@ def op10_substring(spark, d):
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_collocations(spark, d):
+    return collocations.collocations(_table(spark, d, "documents"))
+
+
 def op13_fill_in_middle(spark, d):
     found = infill.fill_in_middle(_table(spark, d, "documents"))
     digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
@@ -104,5 +108,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring": op10_substring,
+    "op12_collocations": op12_collocations,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
