@@ -122,6 +122,32 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
+MINHASH = rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT rid, doc_id,
+         CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w
+              ELSE list_distinct(list_transform(range(1, len(w)), lambda p: w[p] || ' ' || w[p + 1])) END AS shingles
+  FROM d
+), e AS MATERIALIZED (
+  SELECT rid, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), shared AS (
+  SELECT a.rid AS x, b.rid AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+  FROM e a JOIN e b ON a.shingle = b.shingle AND a.rid <> b.rid AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.rid, b.rid
+), links AS MATERIALIZED (
+  SELECT x, y FROM shared WHERE 100 * c >= 80 * (n + m - c)
+), reach AS (
+  SELECT rid AS x, rid AS y FROM s
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+), least_key AS (
+  SELECT r.x AS rid, min(s.doc_id) AS component_id FROM reach r JOIN s ON s.rid = r.y GROUP BY r.x
+)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM s JOIN least_key USING (rid)
+"""
+
 PHRASES = rf"""
 WITH pieces AS (
   SELECT lang, piece, row_number() OVER () AS id
@@ -190,4 +216,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
 FROM p
 """
 
-ORACLE = {"op4_blob_ledger": SECRETS, "op6_warc": WARC, "op9_decontaminate": DECONTAMINATE, "op10_substring": SUBSTRING, "op12_collocations": PHRASES, "op13_fill_in_middle": FILL}
+ORACLE = {"op4_blob_ledger": SECRETS, "op6_warc": WARC, "op9_decontaminate": DECONTAMINATE, "op10_substring": SUBSTRING, "op11_minhash": MINHASH, "op12_collocations": PHRASES, "op13_fill_in_middle": FILL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstrata.llm import collocations, crf, decontam, divergence, infill, langid, mixing, secrets, simhash, substring, toxicity, warc
+from quillstrata.llm import collocations, crf, decontam, divergence, infill, langid, minhash, mixing, secrets, simhash, substring, toxicity, warc
 from quillstrata.llm.common import remainder
 from quillstrata.llm.duck import ORACLE  # noqa: F401  (part of this module's interface)
 
@@ -87,6 +87,11 @@ def op10_substring(spark, d):
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_minhash(spark, d):
+    found = minhash.near_duplicates(_table(spark, d, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op12_collocations(spark, d):
     return collocations.collocations(_table(spark, d, "documents"))
 
@@ -108,6 +113,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring": op10_substring,
+    "op11_minhash": op11_minhash,
     "op12_collocations": op12_collocations,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
