@@ -26,10 +26,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write once to the shared folder and read back: cuts the lineage and survives lost executors. ``options`` are those of the writer."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
