@@ -7,9 +7,11 @@ meet, and of closer pairs fewer are missed.
 
 Two sets share a table key only if they share both its tuples. So tuples of one set only make no keys, and tuples of a set that have the same
 members (told by their number and two sums over their hashes) make the same tables and count once. What is left, of a lone pair one table,
-is linked as stars; links are verified on full sets and joined to components. Tables whose members are then in several components are
-compared member by member on full sets, dealt to units of bounded size, of which only a spanning forest comes back.
-So no pair that meets in a table goes unverified, and no group is listed as pairs.
+is linked as stars; links are verified on full sets and joined to components. What is left are pairs of different components, and those
+of a table all share a tuple of the first collection. The members of such a tuple are dealt to units of bounded size. A pair is
+plausible there if the sets share at least ``LEAST_TUPLES`` of their tuples (at 0.8 all but one in ten million do) and this tuple
+is the one with the most members that they share, so each pair is met once. Only members with a plausible partner get their full
+sets compared, and only a spanning forest comes back. So every pair that meets is decided on full sets, and no group is listed as pairs.
 
 Cases: a text without words, or null, has an empty set and is linked with nothing; a text with fewer words than a shingle is one shingle;
 equal sets are one node, so copies cost nothing; repeated rows share the result; a row with a null key gets the smallest key of
@@ -39,6 +41,8 @@ PERCENT = 80
 # Members, and shingles of theirs, in one part of a table whose members are compared with each other; two parts meet in a unit.
 PART_MEMBERS = 256
 PART_SHINGLES = 1 << 20
+# Of 2 * TUPLES tuples, those that a pair worth comparing shares.
+LEAST_TUPLES = 5
 # Keys of texts whose sets are needed again are broadcast up to this number, and joined by a shuffle beyond it.
 BROADCAST_KEYS = 200_000
 # Shingles whose minhashes are computed together.
@@ -108,17 +112,24 @@ def _members(id_column: str) -> list:
 
 
 def table_keys(nodes: DataFrame, total_tuples: int, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """(id, size, tables): the distinct tables of every set that shares a tuple of both collections with others."""
+    """(id, size, first, tuples, tables) of every set that shares a tuple of both collections with others.
+
+    ``tuples`` are its shared tuples, ``first`` the different groups of members behind those of the first collection, named by numbers that are the
+    lower the more members there are, ``tables`` its distinct tables.
+    """
     listed = nodes.select("id", F.col("n_shingles").alias("size"), F.explode("tuples").alias("tuple"))
     shared = listed.groupBy("tuple").agg(*_members("id")).where(F.col("members") > 1)
-    shared = shared.select("tuple", F.xxhash64("members", "sum1", "sum2").alias("same"))
+    rank = F.shiftleft((1 << 20) - F.least("members", F.lit(1 << 20)), 42)
+    shared = shared.select("tuple", (rank + F.shiftrightunsigned(F.xxhash64("members", "sum1", "sum2"), 22)).alias("same"))
     met = lookup(listed, shared, ["tuple"], "id", total_tuples, heavy_rows).where(F.col("same").isNotNull())
     second = F.col("tuple").bitwiseAND(1) == 1
     sides = met.groupBy("id", "size").agg(
-        F.collect_set(F.when(~second, F.col("same"))).alias("first"), F.collect_set(F.when(second, F.col("same"))).alias("second")
+        F.collect_set(F.when(~second, F.col("same"))).alias("first"),
+        F.collect_set(F.when(second, F.col("same"))).alias("second"),
+        F.collect_list("tuple").alias("tuples"),
     )
     pairs = F.flatten(F.transform("first", lambda a: F.transform("second", lambda b: F.xxhash64(a, b))))
-    return sides.where((F.size("first") > 0) & (F.size("second") > 0)).select("id", "size", pairs.alias("tables"))
+    return sides.where((F.size("first") > 0) & (F.size("second") > 0)).select("id", "size", "first", "tuples", pairs.alias("tables"))
 
 
 def _similar(shared: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
@@ -156,28 +167,49 @@ def verified(links: DataFrame, sets: DataFrame, percent: int, heavy_rows: int =
     return map_blocks(both.select("src", "dst", "left", "right"), work, "src binary, dst binary")
 
 
-def unit_forest(sets: list[np.ndarray], roots: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Links that join, with what the roots have joined already, all members whose sets are similar enough."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, group = np.unique(np.array(roots, dtype=object), return_inverse=True)
-    hashes, column = np.unique(np.concatenate(sets), return_inverse=True)
-    member = np.repeat(np.arange(n), sizes)
-    shared = np.zeros((n, n), np.float32)
-    # Only shingles of several members count; they are taken in blocks of columns.
-    often = np.bincount(column, minlength=len(hashes)) > 1
+def _common(lists: list[np.ndarray]) -> np.ndarray:
+    """How many numbers every two lists have in common; no list has one twice."""
+    n = len(lists)
+    values, column = np.unique(np.concatenate(lists), return_inverse=True)
+    member = np.repeat(np.arange(n), [len(v) for v in lists])
+    # Only numbers of several lists count; they are taken in blocks of columns.
+    often = np.bincount(column, minlength=len(values)) > 1
     place = np.cumsum(often) - 1
     kept = often[column]
     member, column = member[kept], place[column[kept]]
     order = np.argsort(column, kind="stable")
     member, column = member[order], column[order]
-    width = 4096
+    shared, width = np.zeros((n, n), np.float32), 4096
     for first in range(0, int(often.sum()), width):
         low, high = np.searchsorted(column, [first, first + width])
         there = np.zeros((n, width), np.float32)
         there[member[low:high], column[low:high] - first] = 1
         shared += there @ there.T
-    near = _similar(np.rint(shared).astype(np.int64), sizes[:, None], sizes[None, :], percent)
+    return np.rint(shared).astype(np.int64)
+
+
+def _numbers(roots: list[bytes]) -> np.ndarray:
+    place = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+    return np.array([place[r] for r in roots], np.int64)
+
+
+def plausible(name: int, sizes: np.ndarray, roots: list[bytes], firsts: list[np.ndarray], tuples: list[np.ndarray], percent: int) -> np.ndarray:
+    """The members of group ``name`` that have a partner to be compared with in this group."""
+    root = _numbers(roots)
+    near = (_common(tuples) >= LEAST_TUPLES) & (root[:, None] != root[None, :])
+    near &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
+    wanted = np.zeros(len(sizes), bool)
+    lower = [f[f < name] for f in firsts]
+    # A pair that has a lower group in common is met there.
+    met_before = _common(lower) > 0 if any(len(f) for f in lower) else np.zeros_like(near)
+    wanted[np.nonzero((near & ~met_before).any(axis=1))[0]] = True
+    return wanted
+
+
+def unit_forest(sets: list[np.ndarray], roots: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links that join, with what the roots have joined already, all members whose sets are similar enough."""
+    sizes, group = np.array([len(s) for s in sets], np.int64), _numbers(roots)
+    near = _similar(_common(sets), sizes[:, None], sizes[None, :], percent)
     found = []
     for a, b in zip(*np.nonzero(np.triu(near, 1))):
         if group[a] != group[b]:
@@ -187,30 +219,39 @@ def unit_forest(sets: list[np.ndarray], roots: list[bytes], percent: int) -> lis
 
 
 def compared(tables: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, part_members: int = PART_MEMBERS) -> DataFrame:
-    """(src, dst): similar members of a table that are in different components, as a spanning forest of each unit."""
-    placed = tables.join(roots.select("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    listed = placed.select("id", "root", "size", F.explode("tables").alias("table"))
-    counted = listed.groupBy("table").agg(
-        *_members("id"), F.min(F.xxhash64("root")).alias("low"), F.max(F.xxhash64("root")).alias("high"), F.sum("size").alias("sizes")
+    """(src, dst): similar sets that share a tuple and are in different components, as a spanning forest of each unit."""
+    placed = tables.drop("tables").join(roots.select("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    listed = placed.select("id", "root", "size", "first", "tuples", F.explode("first").alias("name"))
+    by_root = listed.groupBy("name", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes"))
+    counted = by_root.groupBy("name").agg(
+        F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("members"), F.sum("sizes").alias("sizes"),
+        F.count(F.lit(1)).alias("roots"),
     )
-    mixed = counted.where(F.col("low") != F.col("high"))
-    # Tables with the same members are compared once.
     parts = F.greatest(F.ceil(F.col("members") / part_members), F.ceil(F.col("sizes") / PART_SHINGLES)).cast("int")
-    once = mixed.groupBy("members", "sum1", "sum2").agg(F.min("table").alias("table"), F.min(parts).alias("parts")).select("table", "parts")
-    mine = F.pmod(F.xxhash64("id", "table"), F.col("parts")).cast("int")
-    dealt = listed.join(once, "table").select("table", "id", "root", "parts", mine.alias("mine"))
-    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("mine")))
-    met = dealt.withColumn("other", F.explode(others)).select(
-        F.xxhash64("table", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "id", "root"
-    )
+    rest = F.ceil((F.col("members") - F.col("most")) / part_members).cast("int")
+    several = counted.where(F.col("roots") > 1).select("name", "largest", parts.alias("parts"), F.least(rest, parts).alias("rest"))
+    # Of two members with different roots one is outside the largest component: part a of those meets part b of all in unit (a, b).
+    mine = [F.pmod(F.xxhash64("id", "name"), F.col(c)).cast("int") for c in ("rest", "parts")]
+    as_any = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda a: F.struct(a.alias("a"), mine[1].alias("b")))
+    as_rest = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda b: F.struct(mine[0].alias("a"), b.alias("b")))
+    units = F.when(F.col("root") == F.col("largest"), as_any).otherwise(F.array_distinct(F.concat(as_any, as_rest)))
+    met = listed.join(several, "name").select("*", F.inline(units))
+
+    def choose(group: pa.Table) -> pa.Table:
+        arrays = {c: [v.values.to_numpy() for v in group[c]] for c in ("first", "tuples")}
+        wanted = plausible(
+            group["name"][0].as_py(), group["size"].to_numpy(), group["root"].to_pylist(), arrays["first"], arrays["tuples"], percent
+        )
+        return group.select(["name", "a", "b", "id", "root"]).filter(pa.array(wanted))
 
     def work(group: pa.Table) -> pa.Table:
-        ids, roots = group["id"].to_pylist(), group["root"].to_pylist()
-        members = [np.frombuffer(v, np.uint64) for v in group["set"].to_pylist()]
-        found = unit_forest(members, roots, percent)
+        ids = group["id"].to_pylist()
+        found = unit_forest([np.frombuffer(v, np.uint64) for v in group["set"].to_pylist()], group["root"].to_pylist(), percent)
         return pa.table({"src": pa.array([ids[a] for a, _ in found], pa.binary()), "dst": pa.array([ids[b] for _, b in found], pa.binary())})
 
-    return met.join(sets, "id").groupBy("unit").applyInArrow(work, "src binary, dst binary").distinct()
+    chosen = met.select("name", "a", "b", "id", "root", "size", "first", "tuples").groupBy("name", "a", "b")
+    left = stored(chosen.applyInArrow(choose, "name bigint, a int, b int, id binary, root binary"), "compared")
+    return left.join(sets, "id").groupBy("name", "a", "b").applyInArrow(work, "src binary, dst binary").distinct()
 
 
 def _downward(links: DataFrame) -> DataFrame:
