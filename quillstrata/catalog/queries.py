@@ -29,7 +29,7 @@ from quillstrata.operators import (
 )
 from quillstrata.plans import jobs
 from quillstrata.schema import RECORD_SCHEMA
-from quillstrata.session import cut_lineage, ensure_checkpoint_dir
+from quillstrata.session import cut_lineage, ensure_checkpoint_dir, spread
 from quillstrata.sources import provenance, records, sinks
 
 SEED = 42
@@ -468,20 +468,10 @@ def _labelled_splits(spark, d) -> DataFrame:
     return split.naive_random_split(df, "record_id", 0.8, SEED)
 
 
-# Saved models by application and data folder: the queries about one fitted model share it.
-_FITTED: dict[tuple[str, str], str] = {}
-
-
 def _model(spark, d) -> tuple[classifier.TextLabelModel, DataFrame]:
-    """The model fitted on the train rows with the operator's defaults, once per application and folder, and the splits."""
-    splits = cut_lineage(_labelled_splits(spark, d))
-    place = (spark.sparkContext.applicationId, d)
-    if place not in _FITTED:
-        model = classifier.fit_classifier(projection.filter_split(splits, "train"))
-        path = scratch(spark, "fitted")
-        model.save(path)
-        _FITTED[place] = path
-    return classifier.TextLabelModel.load(_FITTED[place]), splits
+    """The model fitted on the train rows with the operator's defaults, and the splits."""
+    splits = spread(cut_lineage(_labelled_splits(spark, d)))
+    return classifier.fit_classifier(projection.filter_split(splits, "train")), splits
 
 
 def _judged(scores: DataFrame, scored_rows: DataFrame, *also: str) -> DataFrame:
@@ -519,7 +509,7 @@ def evaluate_classifier(spark, d):
 
 
 def save_load_model(spark, d):
-    """Rows whose prediction changes after a save and a reload: none."""
+    """Rows whose prediction by the fitted model changes after a save and a reload: none."""
     path = scratch(spark, "model")
     model, splits = _model(spark, d)
     model.save(path)
@@ -555,7 +545,7 @@ def prepare_corpus(spark, d):
 
 
 def train_and_evaluate(spark, d):
-    splits = cut_lineage(_labelled_splits(spark, d))
+    splits = spread(cut_lineage(_labelled_splits(spark, d)))
     _, scores = jobs.train_and_evaluate(splits, scratch(spark, "model"))
     return _judged(scores, projection.filter_split(splits, "test"))
 
@@ -564,8 +554,8 @@ def leakage_models(spark, d):
     """The model half of the leakage experiment: the same model on the grouped and on the row-wise split."""
     df = cut_lineage(views.corpus(spark, d))
     clustered = cut_lineage(clusters.cluster_ids(df, "instruction", "record_id"))
-    grouped = cut_lineage(split.grouped_split(clustered, "record_id", seed=SEED))
-    naive = cut_lineage(split.naive_random_split(clustered, "record_id", 0.8, SEED))
+    grouped = spread(cut_lineage(split.grouped_split(clustered, "record_id", seed=SEED)))
+    naive = spread(cut_lineage(split.naive_random_split(clustered, "record_id", 0.8, SEED)))
     scores = jobs.leakage_experiment(grouped, naive)
     return scores.select("kind", "target", "samples", reduce(and_, [F.col(c).between(0, 1) for c in ("accuracy", "macro_f1", "weighted_f1")]).alias("within"))
 

@@ -7,9 +7,8 @@ from compare import connect, difference
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-# Fits take minutes (tests/run_compare.py has them); the training-data operators have tests of their own.
-FITTING = {"fit_classifier", "predict_labels", "evaluate_classifier", "save_load_model", "train_and_evaluate", "leakage_models"}
-NAMES = [n for n in queries() if n not in FITTING and n != "pipeline" and not n.startswith("op")]
+# The training-data operators have tests of their own.
+NAMES = [n for n in queries() if n != "pipeline" and not n.startswith("op")]
 
 
 @pytest.fixture(scope="module")
