@@ -592,6 +592,12 @@ ORACLE = {
     "predict_labels": f"WITH {naive_ctes('documents')} SELECT doc_id AS record_id, true AS known FROM naive WHERE split = 'test'",
     "save_load_model": f"""WITH {naive_ctes('documents')} SELECT CAST(count(*) AS BIGINT) AS test_rows, 0::BIGINT AS changed
   FROM naive WHERE split = 'test'""",
+    "similar_texts": f"""WITH RECURSIVE {shingle_ctes()},
+  counted AS MATERIALIZED (SELECT doc_id, shingle, count(*) OVER (PARTITION BY doc_id) AS n FROM shingles),
+  pairs AS (SELECT a.doc_id AS x, b.doc_id AS y FROM counted a JOIN counted b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*))),
+  reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON p.x = r.y)
+  SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x""",
     "leakage_models": f"""WITH RECURSIVE {SPLIT}, {naive_ctes('clustered')},
   sizes_of AS (SELECT 'grouped' AS kind, count(*) AS n FROM split_rows WHERE split = 'test' UNION ALL
     SELECT 'naive', count(*) FROM naive WHERE split = 'test')

@@ -24,6 +24,7 @@ from quillstrata.operators import (
     pii,
     profile,
     projection,
+    setjoin,
     split,
     validation,
 )
@@ -343,6 +344,19 @@ def verified_links(spark, d):
     return clusters.verified_links(cut_lineage(_bands(spark, d)), views.documents(spark, d), "text", "doc_id")
 
 
+def similar_texts(spark, d):
+    """The class of every document by the exact set-similarity join."""
+    docs = views.documents(spark, d).select("doc_id", "text")
+    return setjoin.similar_classes(docs, "text", "doc_id", cut_lineage(setjoin.similar_links(docs, "text", "doc_id")))
+
+
+def band_recall(spark, d):
+    """How many links of the exact join the verified bands connect as well."""
+    docs = views.documents(spark, d).select("doc_id", "text")
+    exact = cut_lineage(setjoin.similar_links(docs, "text", "doc_id"))
+    return setjoin.band_recall(exact, cut_lineage(verified_links(spark, d)), "doc_id")
+
+
 def _clustered(spark, d, mode: str = "components") -> DataFrame:
     df = clusters.cluster_ids(views.documents(spark, d).select("doc_id", "text"), "text", "doc_id", mode=mode)
     return df.select("doc_id", "cluster_id")
@@ -612,6 +626,8 @@ QUERIES = {
     "near_dup_members": near_dup_members,
     "jaccard_verify": jaccard_verify,
     "verified_links": verified_links,
+    "similar_texts": similar_texts,
+    "band_recall": band_recall,
     "cluster_ids": cluster_ids,
     "cluster_ids_star": cluster_ids_star,
     "cluster_sizes": cluster_sizes,
