@@ -60,3 +60,8 @@ def text_key(text: Column) -> Column:
     """Tells rows of one doc_id with different texts apart. Null and empty differ from each other."""
     return F.coalesce(F.xxhash64(text), F.lit(0)) + F.when(text.isNull(), 1).otherwise(0)
 
+
+
+def drawn(share: float, *columns: str) -> Column:
+    """True for this share of the rows, by 53 bits of a hash of the columns: no share is too small to draw."""
+    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit("sample")), 11) < F.lit(share * (1 << 53))

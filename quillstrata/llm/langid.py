@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.common import map_blocks
+from quillstrata.llm.common import drawn, map_blocks, text_key
 
 BUCKET_BITS = 15
 # Bytes of one text hashed at a time, so that a very long text needs no long arrays.
@@ -96,12 +96,14 @@ def fit_language(
     rate: float = 0.5,
     reject_below: float = 0.6,
 ) -> LanguageModel | None:
-    """Fit in the driver on the packed counts of about ``max_rows`` labelled rows at most, taken by a hash of the key; None without a labelled row."""
+    """Fit in the driver on the packed counts of about ``max_rows`` labelled rows at most, taken by a hash of key and text; None without a labelled row."""
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if train is not None:
         known = known.where(train)
     share = min(1.0, max_rows / max(known.count(), 1))
-    known = known.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
+    # One row for each text of a key, however often it is there: the bound holds for rows.
+    known = known.withColumn("_text_key", text_key(F.col(text))).where(drawn(share, key, "_text_key"))
+    known = known.groupBy(key, "_text_key").agg(F.first(text).alias(text), F.min(lang).alias(lang))
 
     def sparse(part: pa.RecordBatch) -> pa.RecordBatch:
         at, weight = [], []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.common import BLOCK_ROWS, map_blocks
+from quillstrata.llm.common import BLOCK_ROWS, drawn, map_blocks, stored, text_key
 
 # Look-alike letters of other scripts, and the digits and signs written for letters.
 HOMOGLYPHS = dict(zip("авеіјкмнорѕстухԁɡοαρνϲ", "abeijkmhopsctyxdgoapvc"))
@@ -131,14 +131,18 @@ def fit_lexicon(
 
     A term is kept when toxic rows hold it far oftener than clean ones, by chance-proof counts; its weight is the log of that ratio.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
+    # Labels other than 0 and 1 say nothing.
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     if train is not None:
         known = known.where(train)
     known = known.groupBy(key).agg(F.max(label).cast("int").alias("y"))
     share = min(1.0, max_rows / max(known.count(), 1))
-    sample = known.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
-    # At most about max_rows keys: a proven bound for the broadcast.
-    rows = df.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(sample), key).select("text", "y")
+    sample = known.where(drawn(share, key))
+    # At most about max_rows keys: a proven bound for the broadcast. A key may have many rows: one of each text, thinned to the bound.
+    met = df.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("_key") == F.col(key))
+    met = met.withColumn("_text_key", text_key(F.col("text"))).groupBy("_key", "_text_key").agg(F.first("text").alias("text"), F.max("y").alias("y"))
+    met = stored(met, "labelled")
+    rows = met.where(drawn(min(1.0, max_rows / max(met.count(), 1)), "_key", "_text_key")).select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
