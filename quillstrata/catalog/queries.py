@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from functools import reduce
 from operator import and_
@@ -13,6 +14,7 @@ from quillstrata.catalog import views
 from quillstrata.functions import pii as pii_columns
 from quillstrata.functions.hashing import order_key
 from quillstrata.functions.slots import protect_slots
+from quillstrata.functions.subword import subword_counter
 from quillstrata.functions.text import char_ngrams, normalize_text, word_ngrams
 from quillstrata.operators import (
     chat,
@@ -34,6 +36,8 @@ from quillstrata.session import cut_lineage, ensure_checkpoint_dir, spread
 from quillstrata.sources import provenance, records, sinks
 
 SEED = 42
+# A public vocabulary: where it lies is the caller's to say.
+TOKENIZER = os.environ.get("SUBWORD_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -279,6 +283,12 @@ def token_length_stats(spark, d):
     return profile.token_length_stats(views.pairs(spark, d))
 
 
+def subword_length_stats(spark, d):
+    """Subword tokens of every document and its language name, by the vocabulary file that ``TOKENIZER`` names."""
+    docs = views.documents(spark, d).select(F.col("text").alias("instruction"), F.col("lang").alias("response"))
+    return profile.token_length_stats(docs, subword_counter(TOKENIZER))
+
+
 def truncation_rate(spark, d):
     return profile.truncation_rate(views.documents(spark, d), 512, instruction_col="text", response_col="lang")
 
@@ -616,6 +626,7 @@ QUERIES = {
     "placeholder_stats": placeholder_stats,
     "placeholder_frequency": placeholder_frequency,
     "token_length_stats": token_length_stats,
+    "subword_length_stats": subword_length_stats,
     "truncation_rate": truncation_rate,
     "full_profile": full_profile,
     "word_shingles": word_shingles,
