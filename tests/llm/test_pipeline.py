@@ -43,7 +43,7 @@ def test_stages(spark):
 
 def test_registered(spark):
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(names)
     assert "cluster_ids" in names
 
