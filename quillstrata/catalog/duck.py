@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from quillstrata.functions.hashing import MERSENNE_31, band_shape, permutations, word_weights
 from quillstrata.operators.chat import DEFAULT_SYSTEM_PROMPT
 from quillstrata.schema import RULES
@@ -73,7 +75,7 @@ SLOTTED = """slotted AS (
     ELSE text END AS text FROM documents)"""
 
 SCORED = """scored AS (
-  SELECT CAST(quality AS VARCHAR) AS y_true,
+  SELECT doc_id, CAST(quality AS VARCHAR) AS y_true,
          CASE WHEN lang = 'de' THEN '2' WHEN n_chars > 400 THEN '1' ELSE '0' END AS y_pred
   FROM labels JOIN documents USING (doc_id))"""
 
@@ -447,6 +449,40 @@ ratios AS (SELECT label, support, CASE WHEN called = 0 THEN 0.0::DOUBLE ELSE hit
   CASE WHEN support = 0 THEN 0.0::DOUBLE ELSE hits::DOUBLE / support END AS r FROM counts),
 scores AS (SELECT *, CASE WHEN p + r = 0 THEN 0.0::DOUBLE ELSE 2 * p * r / (p + r) END AS f FROM ratios)"""
 
+def bootstrap(replicates: int = 200, low: int = 5, high: int = 196) -> str:
+    """``low`` and ``high`` are the places of the nearest ranks outside 95 % of the replicates, from 1."""
+    steps = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(12)]
+    weight = " + ".join(f"(u >= {s})::INT" for s in steps)
+    long = " UNION ALL ".join(f"SELECT replicate, '{m}' AS metric, {m} AS value FROM summaries" for m in ("accuracy", "macro_f1", "weighted_f1"))
+    return f"""WITH {SCORED},
+drawn AS (SELECT y_true, y_pred, 4 * block + part AS replicate,
+  CAST('0x' || substr(md5('{SEED}:' || doc_id || ':' || block), CAST(1 + 8 * part AS BIGINT), 8) AS BIGINT) AS u
+  FROM scored, range({replicates // 4}) b(block), range(4) p(part)),
+cells AS (SELECT replicate, y_true, y_pred, sum({weight}) AS n FROM drawn GROUP BY ALL HAVING n > 0
+  UNION ALL SELECT -1, y_true, y_pred, count(*) FROM scored GROUP BY ALL),
+sided AS (SELECT replicate, y_true AS label, CASE WHEN y_true = y_pred THEN n ELSE 0 END AS hits, n AS support, 0 AS called FROM cells
+  UNION ALL SELECT replicate, y_pred, 0, 0, n FROM cells),
+labels_of AS (SELECT replicate, label, sum(hits) AS hits, sum(support) AS support, sum(called) AS called FROM sided GROUP BY ALL),
+summaries AS (SELECT replicate, round(sum(hits)::DOUBLE / sum(support), 4) AS accuracy,
+  round(avg(2 * hits::DOUBLE / (called + support)), 4) AS macro_f1,
+  round(sum(2 * hits::DOUBLE / (called + support) * support) / sum(support), 4) AS weighted_f1 FROM labels_of GROUP BY replicate),
+long AS ({long})
+SELECT metric, max(value) FILTER (replicate = -1) AS estimate, list_sort(list(value) FILTER (replicate >= 0))[{low}] AS low,
+  list_sort(list(value) FILTER (replicate >= 0))[{high}] AS high, CAST(count(*) FILTER (replicate >= 0) AS BIGINT) AS replicates
+FROM long GROUP BY metric"""
+
+
+BALANCED = f"""{CLUSTERS},
+labelled AS (SELECT c.doc_id, lang, cluster_id FROM clustered c JOIN documents USING (doc_id)),
+cells AS (SELECT cluster_id, coalesce(lang, '') AS label, count(*) AS n FROM labelled GROUP BY ALL),
+profiles AS (SELECT cluster_id, sum(n) AS size, first(label ORDER BY n DESC, label) AS label FROM cells GROUP BY cluster_id),
+totals AS (SELECT *, sum(size) OVER (PARTITION BY label) AS total FROM profiles),
+middles AS (SELECT *, 2 * sum(size) OVER (PARTITION BY label ORDER BY size * 100 <= total, {key('cluster_id')}, cluster_id ROWS UNBOUNDED PRECEDING)
+  - size AS middle FROM totals),
+spread AS MATERIALIZED (SELECT cluster_id, CASE WHEN middle <= total * 1.6::DOUBLE THEN 'train' WHEN middle <= total * 1.8::DOUBLE THEN 'val'
+  ELSE 'test' END AS split FROM middles),
+balanced AS (SELECT doc_id, lang, cluster_id, split FROM labelled JOIN spread USING (cluster_id))"""
+
 CHAT_FIELDS = f"""{norm('instruction')} AS user_text, category, intent, coalesce({norm('response')}, '') AS response"""
 
 ORACLE = {
@@ -598,6 +634,43 @@ ORACLE = {
     GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*))),
   reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON p.x = r.y)
   SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x""",
+    "verified_classes": f"""WITH RECURSIVE {band_ctes()},
+  counted AS MATERIALIZED (SELECT doc_id, shingle, count(*) OVER (PARTITION BY doc_id) AS n FROM shingles),
+  met AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM bands a JOIN bands b USING (band, bucket) WHERE a.doc_id <> b.doc_id),
+  pairs AS (SELECT x, y FROM met JOIN counted a ON a.doc_id = x JOIN counted b ON b.doc_id = y AND a.shingle = b.shingle
+    GROUP BY x, y HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*))),
+  reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON p.x = r.y)
+  SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x""",
+    "near_dup_members": f"""WITH sides AS (SELECT 'query' AS side, 'b' || item_id AS key, text FROM benchmark
+    UNION ALL SELECT 'query', 'c' || conv_id || ':' || turn, text FROM conversations WHERE role = 'user'
+    UNION ALL SELECT 'query', 'd' || doc_id, text FROM documents UNION ALL SELECT 'corpus', CAST(doc_id AS VARCHAR), text FROM documents),
+  named AS MATERIALIZED (SELECT side || key AS ident, side, key, text FROM sides), {signature_ctes('named', 'ident')}
+  SELECT side, key, CASE side WHEN 'query' THEN min(key) OVER w ELSE CAST(min(try_cast(key AS BIGINT)) OVER w AS VARCHAR) END AS first
+  FROM signatures JOIN named USING (ident) WINDOW w AS (PARTITION BY side, {", ".join(f"m{i}" for i in range(NUM_PERM))})""",
+    "nearest_train": f"""WITH {naive_ctes('documents')}, {shingle_ctes()},
+  counted AS MATERIALIZED (SELECT doc_id, split, shingle, count(*) OVER (PARTITION BY doc_id) AS n FROM shingles JOIN naive USING (doc_id)),
+  pairs AS (SELECT a.doc_id, b.doc_id AS nearest, CAST(count(*) AS BIGINT) AS shared, CAST(any_value(a.n) + any_value(b.n) - count(*) AS BIGINT) AS total
+    FROM counted a JOIN counted b ON a.shingle = b.shingle AND a.split = 'test' AND b.split = 'train' GROUP BY a.doc_id, b.doc_id),
+  best AS (SELECT * FROM pairs WHERE shared::DOUBLE / total >= 0.2::DOUBLE
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY shared::DOUBLE / total DESC, nearest) = 1)
+  SELECT doc_id, nearest, shared, total, round(shared::DOUBLE / total, 6) AS jaccard
+  FROM naive LEFT JOIN best USING (doc_id) WHERE split = 'test'""",
+    "balanced_split": f"WITH RECURSIVE {BALANCED} SELECT doc_id, lang, cluster_id, split FROM balanced",
+    "label_balance": f"""WITH RECURSIVE {BALANCED},
+  targets(split, target) AS (VALUES ('train', 0.8::DOUBLE), ('val', 0.1::DOUBLE), ('test', 0.1::DOUBLE)),
+  shares AS (SELECT t.split, target, coalesce(lang, '') AS label, CAST(count(*) FILTER (b.split = t.split) AS BIGINT) AS rows,
+    count(*) FILTER (b.split = t.split)::DOUBLE / count(*) AS exact FROM balanced b, targets t GROUP BY t.split, target, label)
+  SELECT label, split, rows, round(exact, 6) AS share, target, round(abs(exact - target), 6) AS deviation FROM shares""",
+    "bootstrap_intervals": bootstrap(),
+    "read_sft_lines": f"""WITH {PAIRS} SELECT CASE length(instruction) % 9 WHEN 1 THEN 'blank line' WHEN 2 THEN 'not JSON' WHEN 3 THEN 'not an object'
+  WHEN 4 THEN 'no messages' WHEN 5 THEN 'messages of another type' WHEN 6 THEN 'wrong roles' WHEN 7 THEN 'no content' ELSE 'good' END AS outcome,
+  CAST(count(*) AS BIGINT) AS lines FROM pairs GROUP BY outcome""",
+    "payload_validity": f"""WITH {PAIRS}, faults AS (SELECT CASE length(instruction) % 13 WHEN 0 THEN 'empty' WHEN 1 THEN 'empty'
+    WHEN 2 THEN 'not JSON' WHEN 3 THEN 'not an object' WHEN 4 THEN 'no intent' WHEN 5 THEN 'category not text' WHEN 6 THEN 'intent blank'
+    WHEN 7 THEN 'no intent' WHEN 8 THEN 'response not text'
+    ELSE CASE WHEN category = '   ' THEN 'category blank' WHEN category = 'X' THEN 'category unknown'
+      WHEN {norm('response')} = '' THEN 'response blank' ELSE 'valid' END END AS fault FROM pairs)
+  SELECT fault, CAST(count(*) AS BIGINT) AS rows, {pct('count(*)', '(SELECT count(*) FROM faults)')} AS percentage FROM faults GROUP BY fault""",
     "leakage_models": f"""WITH RECURSIVE {SPLIT}, {naive_ctes('clustered')},
   sizes_of AS (SELECT 'grouped' AS kind, count(*) AS n FROM split_rows WHERE split = 'test' UNION ALL
     SELECT 'naive', count(*) FROM naive WHERE split = 'test')

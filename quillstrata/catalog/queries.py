@@ -17,11 +17,14 @@ from quillstrata.functions.slots import protect_slots
 from quillstrata.functions.subword import subword_counter
 from quillstrata.functions.text import char_ngrams, normalize_text, word_ngrams
 from quillstrata.operators import (
+    balanced,
+    bootstrap,
     chat,
     classifier,
     clusters,
     features,
     metrics,
+    nearest,
     neardup,
     pii,
     profile,
@@ -130,6 +133,15 @@ def read_sft_jsonl(spark, d):
     return _chat_fields(records.read_sft_jsonl(spark, path))
 
 
+def read_sft_lines(spark, d):
+    """Lines of damaged chat files by what became of them."""
+    path = scratch(spark, "sft-lines")
+    views.chat_lines(spark, d).write.text(path)
+    good, bad = records.read_sft_lines(spark, path)
+    outcomes = good.select(F.lit("good").alias("outcome")).unionByName(bad.select(F.col("reason").alias("outcome")))
+    return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def _flat_quarantine(df: DataFrame) -> DataFrame:
     raw = [F.col(f"raw_record.{c}").alias(c) for c in ["flags", "instruction", "category", "intent", "response"]]
     return df.select("row_index", *raw, "quarantine_reason")
@@ -354,6 +366,12 @@ def verified_links(spark, d):
     return clusters.verified_links(cut_lineage(_bands(spark, d)), views.documents(spark, d), "text", "doc_id")
 
 
+def verified_classes(spark, d):
+    """The class of every document by the links of ``verified_links``."""
+    docs = views.documents(spark, d).select("doc_id", "text")
+    return setjoin.similar_classes(docs, "text", "doc_id", cut_lineage(verified_links(spark, d)))
+
+
 def similar_texts(spark, d):
     """The class of every document by the exact set-similarity join."""
     docs = views.documents(spark, d).select("doc_id", "text")
@@ -425,6 +443,26 @@ def hash_split(spark, d):
     return split.hash_split(df, "doc_id", 0.8, 0.1, SEED)
 
 
+def nearest_train(spark, d):
+    """The most similar training row of every test row of the row-wise split."""
+    docs = views.documents(spark, d).select("doc_id", "text")
+    made = cut_lineage(split.naive_random_split(docs, "doc_id", 0.8, SEED))
+    return nearest.nearest_rows(projection.filter_split(made, "test"), projection.filter_split(made, "train"), "text", "doc_id")
+
+
+def _balanced(spark, d) -> DataFrame:
+    clustered = cut_lineage(clusters.cluster_ids(views.documents(spark, d).select("doc_id", "text", "lang"), "text", "doc_id"))
+    return balanced.balanced_split(clustered.select("doc_id", "lang", "cluster_id"), "doc_id", "lang", seed=SEED)
+
+
+def balanced_split(spark, d):
+    return _balanced(spark, d)
+
+
+def label_balance(spark, d):
+    return balanced.label_balance(_balanced(spark, d), "lang")
+
+
 def leakage_experiment(spark, d):
     """Share of test rows whose cluster is in train, for the grouped and the row-wise split."""
     clustered = cut_lineage(_clustered(spark, d))
@@ -461,6 +499,10 @@ def sft_roundtrip(spark, d):
     return chat.sft_roundtrip(chat.format_sft(views.pairs(spark, d)))
 
 
+def payload_validity(spark, d):
+    return chat.payload_validity(views.payloads(spark, d), "text", {"category": [" order ", "Refund"]})
+
+
 def sft_step_budget(spark, d):
     return chat.sft_step_budget(views.table(spark, d, "documents"), 4, 4, 3)
 
@@ -594,6 +636,7 @@ QUERIES = {
     "write_split_parquet": write_split_parquet,
     "write_sft_jsonl": write_sft_jsonl,
     "read_sft_jsonl": read_sft_jsonl,
+    "read_sft_lines": read_sft_lines,
     "write_quarantine": write_quarantine,
     "write_profile": write_profile,
     "normalize_text": normalize_text_query,
@@ -637,6 +680,7 @@ QUERIES = {
     "near_dup_members": near_dup_members,
     "jaccard_verify": jaccard_verify,
     "verified_links": verified_links,
+    "verified_classes": verified_classes,
     "similar_texts": similar_texts,
     "band_recall": band_recall,
     "cluster_ids": cluster_ids,
@@ -645,6 +689,9 @@ QUERIES = {
     "seeded_cluster_order": seeded_cluster_order,
     "grouped_split": grouped_split,
     "assign_split": assign_split,
+    "balanced_split": balanced_split,
+    "label_balance": label_balance,
+    "nearest_train": nearest_train,
     "split_audit": split_audit,
     "split_shares": split_shares,
     "fixed_sample": fixed_sample,
@@ -655,6 +702,7 @@ QUERIES = {
     "assistant_payload": assistant_payload,
     "format_sft": format_sft,
     "sft_roundtrip": sft_roundtrip,
+    "payload_validity": payload_validity,
     "sft_step_budget": sft_step_budget,
     "word_ngrams": word_ngrams_query,
     "char_ngrams": char_ngrams_query,
@@ -669,6 +717,7 @@ QUERIES = {
     "per_class_metrics": lambda spark, d: metrics.per_class_metrics(views.scored(spark, d)),
     "macro_f1": lambda spark, d: metrics.macro_f1(views.scored(spark, d)),
     "weighted_f1": lambda spark, d: metrics.weighted_f1(views.scored(spark, d)),
+    "bootstrap_intervals": lambda spark, d: bootstrap.bootstrap_intervals(views.scored(spark, d), "doc_id", seed=SEED),
     "label_set": lambda spark, d: metrics.label_set(views.scored(spark, d)),
     "prepare_corpus": prepare_corpus,
     "train_and_evaluate": train_and_evaluate,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstrata.operators.chat import assistant_payload, format_sft
 from quillstrata.sources.records import conversation_pairs, load_records
 
 
@@ -98,10 +99,47 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     prediction = F.when(F.col("lang") == "de", "2").when(F.col("n_chars") > 400, "1").otherwise("0")
     return table(spark, sf_dir, "labels").join(facts, "doc_id").select(
-        F.col("quality").cast("string").alias("y_true"), prediction.alias("y_pred")
+        "doc_id", F.col("quality").cast("string").alias("y_true"), prediction.alias("y_pred")
     )
 
 
+def chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line): chat records as JSON lines, some of them damaged by the length of the question."""
+    kind = F.length("instruction") % 9
+    said = format_sft(pairs(spark, sf_dir)).withColumn("kind", kind)
+    last = F.element_at("messages", 3).withField("content", F.lit(None).cast("string"))
+    wrong = F.when(F.col("kind") == 6, F.reverse("messages")).when(F.col("kind") == 7, F.concat(F.slice("messages", 1, 2), F.array(last)))
+    line = F.to_json(F.struct(F.coalesce(wrong, F.col("messages")).alias("messages")))
+    damaged = (
+        F.when(F.col("kind") == 1, "")
+        .when(F.col("kind") == 2, F.substring(line, 1, 40))
+        .when(F.col("kind") == 3, "[1, 2]")
+        .when(F.col("kind") == 4, '{"turns": []}')
+        .when(F.col("kind") == 5, '{"messages": "none"}')
+        .otherwise(line)
+    )
+    return said.select(damaged.alias("line"))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(text): assistant payloads, some of them damaged by the length of the question."""
+    kind = F.length("instruction") % 13
+    good = assistant_payload(F.col("category"), F.col("intent"), F.col("response"))
+    text = (
+        F.when(kind == 0, F.lit(None).cast("string"))
+        .when(kind == 1, "  ")
+        .when(kind == 2, F.substring(good, 1, 15))
+        .when(kind == 3, '"Refund"')
+        .when(kind == 4, '{"category": "Refund", "response": "a"}')
+        .when(kind == 5, '{"category": 7, "intent": "b", "response": "a"}')
+        .when(kind == 6, '{"category": "Refund", "intent": " ", "response": "a"}')
+        .when(kind == 7, '{"category": "Refund", "intent": null, "response": "a"}')
+        .when(kind == 8, '{"category": "Refund", "intent": "b", "response": ["a"]}')
+        .otherwise(good)
+    )
+    return pairs(spark, sf_dir).select(text.alias("text"))
+
+
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-item and event numbers in long form, as whole numbers."""
     lines = table(spark, sf_dir, "lineitem").select(

@@ -136,3 +136,11 @@ def word_ngrams(column: str, low: int = 1, high: int = 2) -> Column:
 
 def char_ngrams(column: str, low: int = 3, high: int = 5) -> Column:
     return F.expr(char_ngrams_sql(column, low, high))
+
+
+def whole_json(text: Column) -> Column:
+    """The text as a VARIANT, null unless the whole of it is one JSON value: parsers stop after the first value and ignore what follows."""
+    # What ends a list early does not end an object, and the other way round.
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    alone = alone & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
+    return F.when(alone, F.try_parse_json(text))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.functions.text import normalize_text
+from quillstrata.functions.text import normalize_text, whole_json
+from quillstrata.operators.profile import percent
+from quillstrata.schema import ROLES
 
 DEFAULT_SYSTEM_PROMPT = (
     "You sort customer requests. Name the category and the intent of the request, then answer it politely."
 )
-ROLES = ["system", "user", "assistant"]
+PAYLOAD_FIELDS = ["category", "intent", "response"]
 PAYLOAD_SCHEMA = "category string, intent string, response string"
 
 
@@ -57,6 +59,33 @@ def sft_roundtrip(chat: DataFrame) -> DataFrame:
     )
 
 
+def payload_fault(text: Column, labels: dict[str, list[str]] | None = None) -> Column:
+    """The first thing wrong with a generated payload, null for a valid one.
+
+    In this order: ``empty`` (null or blank), ``not JSON``, ``not an object``, then field by field ``no <field>`` (absent or JSON null) and
+    ``<field> not text``, ``<field> blank``, and ``<field> unknown`` if ``labels`` lists the field's values.
+    """
+    value = whole_json(text)
+    fault = F.when(F.coalesce(F.trim(text), F.lit("")) == "", "empty").when(value.isNull(), "not JSON")
+    fault = fault.when(~F.schema_of_variant(value).startswith("OBJECT"), "not an object")
+    for name in PAYLOAD_FIELDS:
+        part = F.try_variant_get(value, f"$.{name}", "variant")
+        said = F.try_variant_get(value, f"$.{name}", "string")
+        fault = fault.when(part.isNull() | F.is_variant_null(part), f"no {name}").when(F.schema_of_variant(part) != "STRING", f"{name} not text")
+        fault = fault.when(F.trim(said) == "", f"{name} blank")
+        if name in (labels or {}):
+            fault = fault.when(~said.isin(labels[name]), f"{name} unknown")
+    return fault
+
+
+def payload_validity(df: DataFrame, text_col: str, labels: dict[str, list[str]] | None = None) -> DataFrame:
+    """(fault, rows, percentage): generated payloads by their first fault, ``valid`` among them; empty for an empty table."""
+    fault = F.coalesce(payload_fault(F.col(text_col), labels), F.lit("valid"))
+    counts = df.groupBy(fault.alias("fault")).agg(F.count(F.lit(1)).alias("rows"))
+    total = counts.agg(F.sum("rows").alias("n")).scalar()
+    return counts.select("fault", "rows", percent(F.col("rows"), total).alias("percentage"))
+
+
 def sft_step_budget(df: DataFrame, batch_size: int, accumulation: int, epochs: int) -> DataFrame:
     """(train_rows, effective_batch, total_steps): whole optimizer steps over all epochs."""
     effective = batch_size * accumulation

@@ -13,6 +13,9 @@ RECORD_SCHEMA = T.StructType(
     + [T.StructField(name, T.StringType(), True) for name in RECORD_FIELDS]
 )
 
+# Roles of a chat record, in order.
+ROLES = ["system", "user", "assistant"]
+
 MESSAGES_SCHEMA = T.StructType(
     [
         T.StructField(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstrata.schema import MESSAGES_SCHEMA
+from quillstrata.functions.text import whole_json
+from quillstrata.schema import MESSAGES_SCHEMA, ROLES
+from quillstrata.session import cut_lineage
 
 
 # Line breaks, quotes and outer blanks survive. Nulls are told by a flag column of their own, so any text may look like a marker.
@@ -61,6 +63,35 @@ def read_sft_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MESSAGES_SCHEMA).json(path)
 
 
+def sft_line_reason(line: Column, roles: list[str] = ROLES) -> Column:
+    """Why a line is no chat record, by the first rule it breaks; null for a good line."""
+    parsed = F.from_json(line, MESSAGES_SCHEMA, {"mode": "PERMISSIVE"})
+    said, held = parsed["messages"], whole_json(line)
+    has = F.try_variant_get(held, "$.messages", "variant")
+    return (
+        F.when(F.trim(line) == "", "blank line")
+        .when(held.isNull(), "not JSON")
+        .when(~F.schema_of_variant(held).startswith("OBJECT"), "not an object")
+        .when(has.isNull(), "no messages")
+        .when(~F.schema_of_variant(has).startswith("ARRAY") | said.isNull(), "messages of another type")
+        .when(~F.coalesce(F.transform(said, lambda m: m["role"]) == F.array(*[F.lit(r) for r in roles]), F.lit(False)), "wrong roles")
+        .when(F.exists(said, lambda m: m["content"].isNull()), "no content")
+    )
+
+
+def read_sft_lines(spark: SparkSession, path: str, roles: list[str] = ROLES) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of chat-format files, where ``read_sft_jsonl`` gives null for what it cannot read.
+
+    Every line is in exactly one of the two, repeated and blank ones as often as they occur: ``good`` has ``messages``, ``bad`` has
+    ``file``, ``line`` (the text as it is) and ``reason``. The files are read once; both results read a stored table.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    told = cut_lineage(lines.select("file", "line", sft_line_reason(F.col("line"), roles).alias("reason")))
+    parsed = F.from_json("line", MESSAGES_SCHEMA)
+    good = told.where(F.col("reason").isNull()).select(parsed["messages"].alias("messages"))
+    return good, told.where(F.col("reason").isNotNull())
+
+
 # Neighbouring turns that one running order covers.
 TURN_BLOCK = 4096
 
