@@ -671,6 +671,11 @@ ORACLE = {
     ELSE CASE WHEN category = '   ' THEN 'category blank' WHEN category = 'X' THEN 'category unknown'
       WHEN {norm('response')} = '' THEN 'response blank' ELSE 'valid' END END AS fault FROM pairs)
   SELECT fault, CAST(count(*) AS BIGINT) AS rows, {pct('count(*)', '(SELECT count(*) FROM faults)')} AS percentage FROM faults GROUP BY fault""",
+    "growing_clusters": f"WITH RECURSIVE {CLUSTERS} SELECT doc_id, cluster_id FROM clustered",
+    "changed_rows": """SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN n_chars % 40 = 0 THEN 'removed' ELSE 'changed' END AS change,
+    1::BIGINT AS old_rows, CASE WHEN n_chars % 40 = 0 THEN 0 WHEN n_chars % 70 = 3 THEN 2 ELSE 1 END::BIGINT AS new_rows
+    FROM documents WHERE n_chars % 40 = 0 OR n_chars % 50 = 1 OR n_chars % 70 = 3
+  UNION ALL SELECT CAST(-1 - doc_id AS VARCHAR), 'added', 0, 1 FROM documents WHERE n_chars % 60 = 2""",
     "leakage_models": f"""WITH RECURSIVE {SPLIT}, {naive_ctes('clustered')},
   sizes_of AS (SELECT 'grouped' AS kind, count(*) AS n FROM split_rows WHERE split = 'test' UNION ALL
     SELECT 'naive', count(*) FROM naive WHERE split = 'test')

@@ -23,6 +23,7 @@ from quillstrata.operators import (
     classifier,
     clusters,
     features,
+    growing,
     metrics,
     nearest,
     neardup,
@@ -36,7 +37,7 @@ from quillstrata.operators import (
 from quillstrata.plans import jobs
 from quillstrata.schema import RECORD_SCHEMA
 from quillstrata.session import cut_lineage, ensure_checkpoint_dir, spread
-from quillstrata.sources import provenance, records, sinks
+from quillstrata.sources import digest_tree, provenance, records, sinks
 
 SEED = 42
 # A public vocabulary: where it lies is the caller's to say.
@@ -84,6 +85,15 @@ def dataset_fingerprint(spark, d):
     return provenance.dataset_fingerprint(df, kind="md5")
 
 
+def changed_rows(spark, d):
+    """Documents that differ from an edited version of the table, by the trees of both."""
+    df = views.table(spark, d, "documents")
+    old, new = scratch(spark, "tree"), scratch(spark, "tree")
+    digest_tree.write_digest_tree(df, "doc_id", old)
+    digest_tree.write_digest_tree(views.edited(df), "doc_id", new)
+    return digest_tree.changed_rows(spark, old, new)
+
+
 def dataset_manifest(spark, d):
     """The manifest as written and read back: its counts, and whether its files table agrees with the folder."""
     path, out = f"{d}/documents.parquet", scratch(spark, "manifest")
@@ -398,6 +408,13 @@ def cluster_ids_star(spark, d):
     return _clustered(spark, d, "star")
 
 
+def growing_clusters(spark, d):
+    """Clusters of the documents after they came in three batches."""
+    docs = views.documents(spark, d).select("doc_id", "text")
+    batches = [docs.where(F.pmod("doc_id", F.lit(3)) == n) for n in range(3)]
+    return growing.GrowingClusters(spark, scratch(spark, "clusters")).add_all(batches, "text", "doc_id")
+
+
 def cluster_sizes(spark, d):
     return clusters.cluster_size_histogram(_clustered(spark, d))
 
@@ -632,6 +649,7 @@ QUERIES = {
     "file_sha256": file_sha256,
     "file_digests": file_digests,
     "dataset_fingerprint": dataset_fingerprint,
+    "changed_rows": changed_rows,
     "dataset_manifest": dataset_manifest,
     "write_split_parquet": write_split_parquet,
     "write_sft_jsonl": write_sft_jsonl,
@@ -685,6 +703,7 @@ QUERIES = {
     "band_recall": band_recall,
     "cluster_ids": cluster_ids,
     "cluster_ids_star": cluster_ids_star,
+    "growing_clusters": growing_clusters,
     "cluster_sizes": cluster_sizes,
     "seeded_cluster_order": seeded_cluster_order,
     "grouped_split": grouped_split,

@@ -103,6 +103,15 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def edited(df: DataFrame) -> DataFrame:
+    """Documents with some texts changed, some rows left out, some added and some repeated, by their length."""
+    size = F.col("n_chars")
+    kept = df.where(size % 40 != 0)
+    changed = kept.withColumn("text", F.when(size % 50 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    added = df.where(size % 60 == 2).withColumn("doc_id", -1 - F.col("doc_id"))
+    return changed.unionByName(added).unionByName(kept.where(size % 70 == 3))
+
+
 def chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line): chat records as JSON lines, some of them damaged by the length of the question."""
     kind = F.length("instruction") % 9
