@@ -21,21 +21,24 @@ def lookup(
     spread_by: str,
     total_rows: int,
     heavy_rows: int = HEAVY_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Left join ``facts`` to ``table``, which has one row per key, without sending a heavy key to one task.
 
     No key can be heavy in a table of ``heavy_rows`` rows or fewer: a plain equi-join then. Otherwise the
     heavy keys are counted (map-side first). All their counts together stay within ``total_rows``, so there are at most
     ``HEAVY_SHARE`` of them and broadcasting that list is safe at any size. Their rows are dealt to numbered parts by a
-    hash of ``spread_by``, and the one matching table row is repeated once per part.
+    hash of ``spread_by``, and the one matching table row is repeated once per part. ``counted`` spares the counting: it has the
+    rows ``_n`` of each key, a key in several rows counting as the largest of them.
     """
     limit = heavy_limit(total_rows, heavy_rows)
     if total_rows <= limit:
         return facts.join(table, on, "left")
+    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")) if counted is None else counted
+    if counted is not None:
+        counts = counts.where(F.col("_n") > limit).groupBy(*on).agg(F.max("_n").alias("_n"))
     heavy = (
-        facts.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > limit)
+        counts.where(F.col("_n") > limit)
         .select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
     )
     parts = F.coalesce(F.col("_parts"), F.lit(1))
