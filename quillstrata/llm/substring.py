@@ -9,12 +9,14 @@ A window is ``window`` consecutive words of one document; a word goes if a windo
    and largest document, so a passage in a third of all documents is as small as any other.
 4. A shard is a set of whole units. Its task builds an FM-index over the contexts (wavelet matrix with bit-packed ranks over the Burrows-Wheeler
    transform) and streams them through backward search, all windows at a time. A window's suffix interval holds its
-   occurrences in the shard, which are all there are; the smallest document in it decides. A unit with more contexts than a shard holds is grouped by
-   window text instead, which needs no task to hold it.
-5. Windows that began in a smaller document mark their words.
-
-Cases: null and empty texts have no words; texts shorter than a window keep all; a null key counts as larger than any other; rows of one
-key neither hide each other nor themselves; repeated rows share their result; empty tables give no rows. Other columns are not read.
+   occurrences in the shard, which are all there are; the smallest document in it decides.
+5. A unit with more than UNIT_CONTEXTS contexts is dealt to several shards by a second hash, that of the window: each context is cut where
+   the shard of its windows changes, equal pieces are one row again, and the same index and search decide.
+6. Windows that began in a smaller document mark their words; the intervals they cover are the ``spans``.
+
+Cases: null and empty texts have no words; texts shorter than a window keep all; a null key counts as larger than any other, and so does
+2^63 - 1, which stands for it; rows of one key neither hide each other nor themselves; repeated rows share their result; empty tables give
+no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from quillstrata.llm.common import map_blocks, stored, text_key, utf8
 from quillstrata.llm.decontam import combine
@@ -35,13 +37,17 @@ from quillstrata.plans.skew import HEAVY_ROWS, lookup
 GRAM = 4
 NO_KEY = (1 << 63) - 1
 NOTICE = -(1 << 63)
+# The seed of Spark's xxhash64.
+CONTEXT_SEED = 42
 # Distinct (unit, document) pairs that a task looks at together, and the pairs of one bucket.
 PAIRS_AT_ONCE = 1_000_000
 # Windows of one context at most: longer runs, as of one repeated word, are cut.
 CONTEXT_WINDOWS = 64
-# Words of one shard, and contexts of a unit beyond which it is grouped by window text.
+# Words of one shard, and contexts of a unit beyond which it is dealt to several shards.
 SHARD_WORDS = 1_000_000
-UNIT_CONTEXTS = 20_000
+UNIT_CONTEXTS = 2_000
+# Tasks that bring the pairs of units and documents together: a task takes several buckets one by one on larger tables.
+PAIR_TASKS = 20_000
 
 
 # --- units and contexts
@@ -106,12 +112,12 @@ def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def shared_units(texts: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(key, unit): the units of each document that some other document has too, and maybe a few more of its own."""
+    """(doc, unit): the units of each document that some other document has too, and maybe a few more of its own."""
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, keys, held = [], [], 0
         for batch in batches:
-            for raw, key in zip((x.as_py() for x in batch["utf8"]), batch["key"].to_pylist()):
+            for raw, key in zip((x.as_py() for x in batch["utf8"]), batch["doc"].to_pylist()):
                 mine = np.unique(window_units(raw.split(), window))
                 units.append(mine)
                 keys.append(np.full(len(mine), key))
@@ -123,7 +129,7 @@ def shared_units(texts: DataFrame, window: int, buckets: int) -> DataFrame:
             yield _pair_batch(list(_pairs_by_bucket(np.concatenate(units), np.concatenate(keys), buckets)))
 
     def pairs_of(units: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(units.view(np.int64))], ["key", "unit"])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(units.view(np.int64))], ["doc", "unit"])
 
     def meet(units: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
         unit, key = np.concatenate(units), np.concatenate(keys)
@@ -151,33 +157,50 @@ def shared_units(texts: DataFrame, window: int, buckets: int) -> DataFrame:
         if units:
             yield meet(units, keys)
 
-    pairs = texts.select("key", "utf8").mapInArrow(pair_up, _PAIRS)
-    gathered = pairs.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return gathered.mapInArrow(decide, "key bigint, unit bigint")
+    pairs = texts.select("doc", "utf8").mapInArrow(pair_up, _PAIRS)
+    gathered = pairs.repartition(min(buckets, PAIR_TASKS), "bucket").sortWithinPartitions("bucket")
+    return gathered.mapInArrow(decide, "doc bigint, unit bigint")
+
+
+def _wanted_runs(raw: bytes, wanted: pa.Scalar, window: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(unit, first window, windows, words joined by spaces) of the runs of windows whose unit is listed."""
+    words = raw.split()
+    units = window_units(words, window)
+    first, sizes = unit_runs(units)
+    mine = np.isin(units[first], wanted.values.to_numpy().view(np.uint64)) if len(first) else np.zeros(0, bool)
+    for unit, f, n in zip(units[first[mine]].view(np.int64).tolist(), first[mine].tolist(), sizes[mine].tolist()):
+        yield unit, f, n, b" ".join(words[f : f + n + window - 1])
+
+
+def _columns(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    values = zip(*rows) if rows else ((),) * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds.values())], list(kinds))
 
 
 def contexts(candidates: DataFrame, window: int) -> DataFrame:
-    """(unit, context, n, key, text_key, start): runs of windows of the units listed for a document, with the words they cover."""
+    """(unit, context, n, key): runs of windows of the units listed for a document, with the words they cover."""
+    kinds = {"unit": pa.int64(), "context": pa.binary(), "n": pa.int32(), "key": pa.int64()}
+
+    def cut(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip((x.as_py() for x in part["utf8"]), part["units"], part["key"].to_pylist())
+        return _columns([(u, c, n, key) for raw, wanted, key in rows for u, _, n, c in _wanted_runs(raw, wanted, window)], kinds)
+
+    return map_blocks(candidates.select("utf8", "units", "key"), cut, "unit bigint, context binary, n int, key bigint")
+
+
+def context_places(candidates: DataFrame, window: int) -> DataFrame:
+    """(unit, context_key, key, text_key, start): where the same runs begin, each named by the hash of its words."""
+    kinds = {"unit": pa.int64(), "context_key": pa.uint64(), "key": pa.int64(), "text_key": pa.int64(), "start": pa.int32()}
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple] = []
+        out = []
         for raw, wanted, key, tk in zip((x.as_py() for x in part["utf8"]), part["units"], part["key"].to_pylist(), part["text_key"].to_pylist()):
-            words = raw.split()
-            units = window_units(words, window)
-            first, sizes = unit_runs(units)
-            mine = np.isin(units[first], wanted.values.to_numpy().view(np.uint64)) if len(first) else np.zeros(0, bool)
-            for f, n in zip(first[mine].tolist(), sizes[mine].tolist()):
-                out.append((int(units[f].view(np.int64)), b" ".join(words[f : f + n + window - 1]), n, key, tk, f))
-        unit, context, n, key, tk, start = zip(*out) if out else ((),) * 6
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-        arrays = [pa.array(c, k) for c, k in zip((unit, context, n, key, tk, start), kinds)]
-        return pa.RecordBatch.from_arrays(arrays, ["unit", "context", "n", "key", "text_key", "start"])
-
-    return map_blocks(
-        candidates.select("utf8", "units", "key", "text_key"),
-        cut,
-        "unit bigint, context binary, n int, key bigint, text_key bigint, start int",
-    )
+            out += [(u, xxh64_intdigest(c, CONTEXT_SEED), key, tk, f) for u, f, _, c in _wanted_runs(raw, wanted, window)]
+        found = _columns(out, kinds)
+        return found.set_column(1, "context_key", found["context_key"].view(pa.int64()))
+
+    columns = candidates.select("utf8", "units", "key", "text_key")
+    return map_blocks(columns, cut, "unit bigint, context_key bigint, key bigint, text_key bigint, start int")
 
 
 # --- the index
@@ -330,25 +353,46 @@ def search_shards(distinct: DataFrame, window: int) -> DataFrame:
     return columns.mapInArrow(run, "unit bigint, context_key bigint, earliest array<bigint>")
 
 
-def group_windows(distinct: DataFrame, window: int) -> DataFrame:
-    """What ``search_shards`` returns, for units too large for a shard: contexts fall into windows, equal ones meet by their text."""
-    words = F.split(F.decode("context", "UTF-8"), " ")
-    cuts = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.array_join(F.slice(words, i + 1, window), " "))
-    spread = distinct.select("unit", "context_key", "low", "high", F.posexplode(cuts).alias("at", "piece"))
-    least = spread.groupBy("unit", "piece").agg(F.min("low").alias("least"))
-    again = spread.join(least, ["unit", "piece"]).groupBy("unit", "context_key", "high").agg(
-        F.array_sort(F.collect_list(F.struct("at", "least"))).alias("all")
+def search_large(large: DataFrame, window: int, heavy_rows: int) -> DataFrame:
+    """(unit, context_key, at, earliest): what ``search_shards`` finds in units of several shards, by pieces that begin ``at`` a window.
+
+    ``large`` has the ``parts`` of each unit. The second hash is that of the whole window, so equal windows share a shard.
+    """
+    kinds = {"unit": pa.int64(), "part": pa.int64(), "piece": pa.binary(), "n": pa.int32(), "context_key": pa.int64(), "at": pa.int32()}
+    kinds |= {"low": pa.int64(), "high": pa.int64()}
+    columns = ["unit", "parts", "context", "context_key", "low", "high"]
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for unit, parts, context, ck, low, high in zip(*[batch[c].to_pylist() for c in columns]):
+            words = context.split(b" ")
+            hashes = combine(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)), window)
+            part = ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+            first, sizes = unit_runs(part)
+            for p, f, n in zip(part[first].tolist(), first.tolist(), sizes.tolist()):
+                out.append((unit, p, b" ".join(words[f : f + n + window - 1]), n, ck, f, low, high))
+        return _columns(out, kinds)
+
+    cuts = map_blocks(
+        large.select(*columns), cut, "unit bigint, part bigint, piece binary, n int, context_key bigint, at int, low bigint, high bigint"
     )
-    return again.select("unit", "context_key", F.col("all.least").alias("earliest"), "high").where(
-        F.array_min("earliest") < F.col("high")
-    ).drop("high")
+    cuts = stored(cuts.withColumns({"shard": F.xxhash64("unit", "part"), "piece_key": F.xxhash64("piece")}), "pieces")
+    merged = cuts.groupBy("shard", "piece", "piece_key", "n").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    shards = merged.select(F.col("shard").alias("unit"), F.col("piece").alias("context"), F.col("piece_key").alias("context_key"), "n", "low", "high")
+    found = search_shards(shards, window).select(F.col("unit").alias("shard"), F.col("context_key").alias("piece_key"), "earliest")
+    # A piece may be in any number of contexts.
+    answers = lookup(cuts.drop("piece", "part", "n", "low"), found, ["shard", "piece_key"], "context_key", cuts.count(), heavy_rows)
+    return answers.where(F.array_min("earliest") < F.col("high")).select("unit", "context_key", "at", "earliest")
 
 
 # --- the operator
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, keep_text: bool = False, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """(key, text_key, n_words, n_removed, kept_sha256[, kept]), one row per row; ``kept`` is the kept words joined by spaces."""
+    """(key, text_key, n_words, n_removed, kept_sha256[, kept, spans]), one row per row.
+
+    ``keep_text`` adds the kept words joined by spaces (null where nothing is taken out) and the intervals of words taken out (first, end exclusive).
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.trim(F.regexp_replace(body, r"[ \t-\r]+", " "))
     n_words = F.when(words == "", 0).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
@@ -371,33 +415,44 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     # A fifth of the words begin a unit, about.
     buckets = max(1, -(-total // (5 * PAIRS_AT_ONCE // 2)))
 
+    # Rows without a key of their own are told apart by their text, so that no list of units holds them all.
+    doc = F.when(F.col("key").isin(NO_KEY, NOTICE), F.col("text_key")).otherwise(F.col("key"))
     texts = df.select(sort_key.alias("key"), text_key(F.col(text)).alias("text_key"), utf8(F.col(text)).alias("utf8"))
-    listed = shared_units(texts, window, int(buckets)).groupBy("key").agg(F.collect_list("unit").alias("units"))
+    listed = shared_units(texts.withColumn("doc", doc), window, int(buckets)).groupBy("doc").agg(F.collect_list("unit").alias("units"))
     heads = rows.where((F.col("key") == F.col("first")) & (F.col("n_words") >= window)).select("key", "text_key").distinct()
-    wanted = stored(heads.join(listed, "key"), "wanted")
+    wanted = stored(heads.withColumn("doc", doc).join(listed, "doc").drop("doc"), "wanted")
     if _repeated(heads, rows):
         texts = texts.dropDuplicates(["key", "text_key"])
     candidates = stored(texts.join(wanted, ["key", "text_key"]), "candidates")
 
-    met = contexts(candidates, window)
-    distinct = met.groupBy("unit", "context", "n").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    alike = [F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("_n")]
+    distinct = contexts(candidates, window).groupBy("unit", "context", "n").agg(*alike)
     distinct = stored(distinct.withColumn("context_key", F.xxhash64("context")), "contexts")
     sizes = distinct.groupBy("unit").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > UNIT_CONTEXTS)
-    large = stored(sizes.select("unit"), "large-units")
+    large = stored(sizes.select("unit", F.ceil(F.col("rows") / UNIT_CONTEXTS).alias("parts")), "large-units")
+    pieces = F.collect_list(F.struct("at", "earliest")).alias("pieces")
+    whole = F.array(F.struct(F.lit(0).alias("at"), "earliest")).alias("pieces")
     if large.limit(1).count():
-        small = search_shards(distinct.join(large, "unit", "left_anti"), window)
-        found = small.unionByName(group_windows(distinct.join(large, "unit", "left_semi"), window))
+        small = search_shards(distinct.join(large, "unit", "left_anti"), window).select("unit", "context_key", whole)
+        dealt = search_large(distinct.join(large, "unit"), window, heavy_rows)
+        found = small.unionByName(dealt.groupBy("unit", "context_key").agg(pieces))
     else:
         # No unit is too large: the contexts are shuffled once, into their shards.
-        found = search_shards(distinct, window)
+        found = search_shards(distinct, window).select("unit", "context_key", whole)
     found = stored(found, "found")
-    places = met.select("unit", F.xxhash64("context").alias("context_key"), "key", "text_key", "start").join(found, ["unit", "context_key"])
-    gone = F.filter(F.transform("earliest", lambda e, i: F.when(e < F.col("key"), F.col("start") + i)), lambda p: p.isNotNull())
-    marks = places.select("key", "text_key", gone.alias("starts")).where(F.size("starts") > 0)
+    # A context may begin in a third of all documents; how often each does is known from the contexts.
+    places = context_places(candidates, window)
+    total = distinct.agg(F.sum("_n")).first()[0] or 0
+    places = lookup(places, found, ["unit", "context_key"], "key", total, heavy_rows, distinct.select("unit", "context_key", "_n"))
+    began = F.transform("pieces", lambda p: F.transform(p.earliest, lambda e, i: F.when(e < F.col("key"), F.col("start") + p.at + i)))
+    gone = F.filter(F.flatten(began), lambda p: p.isNotNull())
+    marks = places.where(F.col("pieces").isNotNull()).select("key", "text_key", gone.alias("starts")).where(F.size("starts") > 0)
     marks = marks.groupBy("key", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
+    interval = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+
     def strip(part: pa.RecordBatch) -> pa.RecordBatch:
-        removed, digest, kept = [], [], []
+        removed, digest, kept, spans = [], [], [], []
         for raw, starts in zip((x.as_py() for x in part["utf8"]), part["starts"]):
             words = raw.split()
             covers = np.zeros(len(words) + 1, np.int64)
@@ -408,16 +463,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
             rest = b" ".join([w for w, o in zip(words, out.tolist()) if not o])
             removed.append(int(out.sum())), digest.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest.decode("utf-8", "replace") if keep_text else None)
-        return pa.RecordBatch.from_arrays(
-            [part["key"], part["text_key"], pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())],
-            ["key", "text_key", "n_removed", "kept_sha256", "kept"],
-        )
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]))).reshape(-1, 2)
+            spans.append([{"first": f, "end": e} for f, e in edges.tolist()] if keep_text else None)
+        arrays = [pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string()), pa.array(spans, interval)]
+        names = ["key", "text_key", "n_removed", "kept_sha256", "kept", "spans"]
+        return pa.RecordBatch.from_arrays([part["key"], part["text_key"], *arrays], names)
 
     stripped = map_blocks(
         candidates.select("key", "text_key", "utf8").join(marks, ["key", "text_key"]),
         strip,
-        "key bigint, text_key bigint, n_removed bigint, kept_sha256 string, kept string",
+        "key bigint, text_key bigint, n_removed bigint, kept_sha256 string, kept string, spans array<struct<first:int,end:int>>",
     )
+    everything = F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("end")))
     copy = (F.col("key") > F.col("first")) & (F.col("n_words") >= window)
     result = rows.join(stripped, ["key", "text_key"], "left").select(
         F.col("name").alias(key),
@@ -426,6 +483,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
         *([F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept")] if keep_text else []),
+        *([F.when(copy, everything).otherwise(F.coalesce("spans", F.array())).alias("spans")] if keep_text else []),
     )
     return result
 

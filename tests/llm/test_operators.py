@@ -369,6 +369,37 @@ def test_repeats_with_small_shards_and_hot_units(spark, documents, sf_dir, monke
     assert got(found, ["doc_id", "n_words", "n_removed", "kept_sha256"]) == sorted(((k, *expected[k, t]) for k, t in documents), key=repr)
 
 
+def test_repeats_of_a_frequent_passage_in_several_shards(spark, monkeypatch):
+    """One passage in every document, between words that differ: its units go to many shards, null and extreme keys among the rows."""
+    draw = np.random.default_rng(7)
+    passage = [f"p{i}" for i in range(40)]
+    pairs = []
+    for k in range(120):
+        around = [f"w{v}" for v in draw.integers(0, 30, 30)]
+        cut = int(draw.integers(0, 20))
+        key = None if k % 4 == 0 else (-(2**63) if k == 1 else k)
+        pairs.append((key, " ".join(around[:15] + passage[cut : cut + 18] + around[15:])))
+    df = spark.createDataFrame(pairs, "doc_id bigint, text string")
+    expected = sorted(((k, *brute.repeats_removed(pairs)[k, t]) for k, t in pairs), key=repr)
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    for contexts in (1, 5, 10**6):
+        monkeypatch.setattr(substring, "UNIT_CONTEXTS", contexts)
+        assert got(substring.remove_repeats(df, heavy_rows=3), columns) == expected
+
+
+def test_spans_are_the_words_taken_out(awkward):
+    found = substring.remove_repeats(awkward, keep_text=True).select("doc_id", "n_removed", "kept", "spans", "text_key")
+    texts = {(r.doc_id, r.text_key): r.text for r in awkward.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).collect()}
+    rows = found.collect()
+    assert any(r.n_removed for r in rows)
+    for r in rows:
+        words = brute.words_of(texts[r.doc_id, r.text_key])
+        gone = [i for s in r.spans for i in range(s["first"], s["end"])]
+        assert len(gone) == len(set(gone)) == r.n_removed
+        if r.kept is not None:
+            assert r.kept == " ".join(w for i, w in enumerate(words) if i not in set(gone))
+
+
 @pytest.mark.parametrize("operator", [secrets.scan_secrets, simhash.near_duplicates, substring.remove_repeats])
 def test_groups_of_copies_dealt_to_parts(awkward, operator):
     """With a limit of two rows every group of copies is a heavy one; the rows stay the same."""
