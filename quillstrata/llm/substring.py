@@ -162,45 +162,54 @@ def shared_units(texts: DataFrame, window: int, buckets: int) -> DataFrame:
     return gathered.mapInArrow(decide, "doc bigint, unit bigint")
 
 
-def _wanted_runs(raw: bytes, wanted: pa.Scalar, window: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(unit, first window, windows, words joined by spaces) of the runs of windows whose unit is listed."""
-    words = raw.split()
-    units = window_units(words, window)
-    first, sizes = unit_runs(units)
-    mine = np.isin(units[first], wanted.values.to_numpy().view(np.uint64)) if len(first) else np.zeros(0, bool)
-    for unit, f, n in zip(units[first[mine]].view(np.int64).tolist(), first[mine].tolist(), sizes[mine].tolist()):
-        yield unit, f, n, b" ".join(words[f : f + n + window - 1])
-
-
 def _columns(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     values = zip(*rows) if rows else ((),) * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds.values())], list(kinds))
 
 
-def contexts(candidates: DataFrame, window: int) -> DataFrame:
-    """(unit, context, n, key): runs of windows of the units listed for a document, with the words they cover."""
-    kinds = {"unit": pa.int64(), "context": pa.binary(), "n": pa.int32(), "key": pa.int64()}
+def with_runs(listed: DataFrame, window: int) -> DataFrame:
+    """(key, text_key, utf8, runs): the runs of windows whose unit is in ``units``, as arrays of unit, hash of the words, first window, windows."""
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows = zip((x.as_py() for x in part["utf8"]), part["units"], part["key"].to_pylist())
-        return _columns([(u, c, n, key) for raw, wanted, key in rows for u, _, n, c in _wanted_runs(raw, wanted, window)], kinds)
-
-    return map_blocks(candidates.select("utf8", "units", "key"), cut, "unit bigint, context binary, n int, key bigint")
+        ends, found = [0], ([], [], [], [])
+        for raw, wanted in zip((x.as_py() for x in part["utf8"]), part["units"]):
+            words = raw.split()
+            units = window_units(words, window)
+            first, sizes = unit_runs(units)
+            if len(first):
+                mine = np.isin(units[first], wanted.values.to_numpy().view(np.uint64))
+                first, sizes = first[mine], sizes[mine]
+            texts = (b" ".join(words[f : f + n + window - 1]) for f, n in zip(first.tolist(), sizes.tolist()))
+            names = np.fromiter((xxh64_intdigest(t, CONTEXT_SEED) for t in texts), np.uint64, len(first))
+            for kept, values in zip(found, (units[first].view(np.int64), names.view(np.int64), first.astype(np.int32), sizes.astype(np.int32))):
+                kept.append(values)
+            ends.append(ends[-1] + len(first))
+        kinds = (np.int64, np.int64, np.int32, np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, k), *v]))) for k, v in zip(kinds, found)]
+        return pa.RecordBatch.from_arrays([part["key"], part["text_key"], part["utf8"], *lists], ["key", "text_key", "utf8", "unit", "context_key", "start", "n"])
+
+    schema = "key bigint, text_key bigint, utf8 binary, unit array<bigint>, context_key array<bigint>, start array<int>, n array<int>"
+    return map_blocks(listed.select("key", "text_key", "utf8", "units"), cut, schema)
 
 
-def context_places(candidates: DataFrame, window: int) -> DataFrame:
-    """(unit, context_key, key, text_key, start): where the same runs begin, each named by the hash of its words."""
-    kinds = {"unit": pa.int64(), "context_key": pa.uint64(), "key": pa.int64(), "text_key": pa.int64(), "start": pa.int32()}
+def contexts(candidates: DataFrame, window: int) -> DataFrame:
+    """(unit, context, n, key): the runs with the words they cover."""
+    kinds = {"unit": pa.int64(), "context": pa.binary(), "n": pa.int32(), "key": pa.int64()}
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for raw, wanted, key, tk in zip((x.as_py() for x in part["utf8"]), part["units"], part["key"].to_pylist(), part["text_key"].to_pylist()):
-            out += [(u, xxh64_intdigest(c, CONTEXT_SEED), key, tk, f) for u, f, _, c in _wanted_runs(raw, wanted, window)]
-        found = _columns(out, kinds)
-        return found.set_column(1, "context_key", found["context_key"].view(pa.int64()))
+        for raw, key, *runs in zip((x.as_py() for x in part["utf8"]), *[part[c].to_pylist() for c in ("key", "unit", "start", "n")]):
+            words = raw.split()
+            out += [(u, b" ".join(words[f : f + n + window - 1]), n, key) for u, f, n in zip(*runs)]
+        return _columns(out, kinds)
+
+    return map_blocks(candidates.select("utf8", "key", "unit", "start", "n"), cut, "unit bigint, context binary, n int, key bigint")
+
 
-    columns = candidates.select("utf8", "units", "key", "text_key")
-    return map_blocks(columns, cut, "unit bigint, context_key bigint, key bigint, text_key bigint, start int")
+def context_places(candidates: DataFrame) -> DataFrame:
+    """(unit, context_key, key, text_key, start): where the runs begin; texts are not read."""
+    runs = candidates.select("key", "text_key", F.explode(F.arrays_zip("unit", "context_key", "start")).alias("run"))
+    return runs.select("run.unit", "run.context_key", "key", "text_key", "run.start")
 
 
 # --- the index
@@ -376,7 +385,7 @@ def search_large(large: DataFrame, window: int, heavy_rows: int) -> DataFrame:
     cuts = map_blocks(
         large.select(*columns), cut, "unit bigint, part bigint, piece binary, n int, context_key bigint, at int, low bigint, high bigint"
     )
-    cuts = stored(cuts.withColumns({"shard": F.xxhash64("unit", "part"), "piece_key": F.xxhash64("piece")}), "pieces")
+    cuts = stored(cuts.withColumns({"shard": F.xxhash64("unit", "part"), "piece_key": F.xxhash64("piece")}), "pieces", compression="zstd")
     merged = cuts.groupBy("shard", "piece", "piece_key", "n").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shards = merged.select(F.col("shard").alias("unit"), F.col("piece").alias("context"), F.col("piece_key").alias("context_key"), "n", "low", "high")
     found = search_shards(shards, window).select(F.col("unit").alias("shard"), F.col("context_key").alias("piece_key"), "earliest")
@@ -423,11 +432,11 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     wanted = stored(heads.withColumn("doc", doc).join(listed, "doc").drop("doc"), "wanted")
     if _repeated(heads, rows):
         texts = texts.dropDuplicates(["key", "text_key"])
-    candidates = stored(texts.join(wanted, ["key", "text_key"]), "candidates")
+    candidates = stored(with_runs(texts.join(wanted, ["key", "text_key"]), window), "candidates", compression="zstd")
 
     alike = [F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("_n")]
     distinct = contexts(candidates, window).groupBy("unit", "context", "n").agg(*alike)
-    distinct = stored(distinct.withColumn("context_key", F.xxhash64("context")), "contexts")
+    distinct = stored(distinct.withColumn("context_key", F.xxhash64("context")), "contexts", compression="zstd")
     sizes = distinct.groupBy("unit").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > UNIT_CONTEXTS)
     large = stored(sizes.select("unit", F.ceil(F.col("rows") / UNIT_CONTEXTS).alias("parts")), "large-units")
     pieces = F.collect_list(F.struct("at", "earliest")).alias("pieces")
@@ -439,9 +448,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     else:
         # No unit is too large: the contexts are shuffled once, into their shards.
         found = search_shards(distinct, window).select("unit", "context_key", whole)
-    found = stored(found, "found")
+    found = stored(found, "found", compression="zstd")
     # A context may begin in a third of all documents; how often each does is known from the contexts.
-    places = context_places(candidates, window)
+    places = context_places(candidates)
     total = distinct.agg(F.sum("_n")).first()[0] or 0
     places = lookup(places, found, ["unit", "context_key"], "key", total, heavy_rows, distinct.select("unit", "context_key", "_n"))
     began = F.transform("pieces", lambda p: F.transform(p.earliest, lambda e, i: F.when(e < F.col("key"), F.col("start") + p.at + i)))
