@@ -9,7 +9,7 @@ refer to it; smaller payloads are all responses.
 
 Cases: null html is an empty payload; a null key is written as an empty id and never referred to while its payload has a
 non-null key (else all of them are responses); rows that share the largest key are all responses; a null url has no target header; control characters in a
-url are percent-encoded; an empty table gives an empty manifest. Other columns are not read.
+url, and all but plain characters in a key, are percent-encoded; an empty table gives an empty manifest. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -32,6 +33,8 @@ from quillstrata.plans.skew import HEAVY_ROWS, lookup
 
 GZIP = 31
 READ_BYTES = 1 << 16
+# Tasks that read archives: beyond as many files a task reads several, one after another.
+READ_TASKS = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = (
     "record_type string, page string, refers_to string, uri string, declared_digest string, "
@@ -54,7 +57,7 @@ def record_bytes(page: str, url: str | None, payload: bytes, digest: str, refers
     header = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page}>",
+        f"WARC-Record-ID: <urn:page:{quote(page, safe='')}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Block-Digest: {_sha1_label(hashlib.sha1(block).digest())}",
@@ -64,7 +67,7 @@ def record_bytes(page: str, url: str | None, payload: bytes, digest: str, refers
     if url is not None:
         header.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
-        header += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        header += [f"WARC-Refers-To: <urn:page:{quote(refers_to, safe='')}>", f"WARC-Profile: {PROFILE}"]
     return "\r\n".join(header).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -223,7 +226,7 @@ def read_archives(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
     """A row per record of the manifest's files: RECORD_SCHEMA. One task per file; a file has a size limit."""
 
     def unwrap(label: str | None) -> str | None:
-        return None if label is None else label.removeprefix("<urn:page:").removesuffix(">")
+        return None if label is None else unquote(label.removeprefix("<urn:page:").removesuffix(">"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,8 +249,8 @@ def read_archives(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
                             rows, held = [], 0
                     yield _records(rows)
 
-    files = max(1, manifest.count())
-    return manifest.select("path").repartition(files).mapInArrow(read, RECORD_SCHEMA)
+    tasks = max(1, min(manifest.count(), READ_TASKS))
+    return manifest.select("path").repartition(tasks).mapInArrow(read, RECORD_SCHEMA)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:

@@ -58,9 +58,19 @@ def test_pages(spark, sf_dir):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
-def test_archives_roll_over_and_keep_payloads(spark, tmp_path):
+def test_keys_of_any_characters(spark):
+    rows = [("a\r\nWARC-Type: x", "u", BIG), ("é> <%41 ", "u", BIG), ("", "u", "small")]
+    found = warc.archive_round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    top = max(rows[0][0], rows[1][0])
+    assert {r.page_id for r in found} >= {rows[0][0], rows[1][0]} and all(r.verified for r in found)
+    assert {r.refers_to for r in found if r.record_type == "revisit"} == {top}
+
+
+def test_archives_roll_over_and_keep_payloads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "READ_TASKS", 2)
     df = spark.createDataFrame([(i, "u", f"{i} " * 3000) for i in range(20)], "page_id bigint, url string, html string").coalesce(1)
     manifest = warc.write_archives(df, f"file://{tmp_path}/archives", max_file_bytes=500)
-    assert manifest.count() > 1
+    assert manifest.count() > 2
+    assert warc.read_archives(manifest).rdd.getNumPartitions() == 2
     back = {int(r.page): r.payload.decode() for r in warc.read_archives(manifest, keep_payload=True).collect()}
     assert back == {i: f"{i} " * 3000 for i in range(20)}
