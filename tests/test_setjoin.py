@@ -1,5 +1,6 @@
 """The exact set-similarity join against all pairs."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -84,3 +85,33 @@ def test_recall_counts_exact_links_that_bands_connect(spark):
         groups[r.class_id].add(r.k)
     inside = sum(any({r.k, r.anchor_id} <= g for g in groups.values()) for r in exact.collect())
     assert part.found == inside
+
+
+def test_full_sets_go_only_to_pairs_that_sketches_allow(spark, monkeypatch):
+    # All share a rare passage in their prefixes and are unlike otherwise, but for the last one.
+    passage = " ".join(f"p{i}" for i in range(8))
+    rows = [(k, passage + " " + " ".join(f"x{k}.{i}" for i in range(9))) for k in range(30)] + [(30, passage + " " + " ".join(f"x4.{i}" for i in range(8)))]
+    listed = []
+
+    def verify(links, *args, **named):
+        listed.append(links.count())
+        return verify_sets(links, *args, **named)
+
+    verify_sets = setjoin.verify_sets
+    monkeypatch.setattr(setjoin, "verify_sets", verify)
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    assert [(r.k, r.anchor_id) for r in setjoin.similar_links(df, "t", "k", threshold=0.5, part_postings=3).collect()] == [(30, 4)]
+    assert sum(listed) <= 3
+
+
+def test_places_are_those_of_the_whole_order(spark):
+    sets = [(1, [5, 6, 7, 8, 9]), (2, [5, 9, 20, 21, 22]), (3, [9, 5, 6, 30]), (4, [40])]
+    often = {h: sum(h in s for _, s in sets) for _, s in sets for h in s}
+    df = spark.createDataFrame(sets, "_id bigint, _set array<bigint>")
+    for threshold in (0.2, 0.5, 0.8):
+        got = {(r.id, r.shingle): (r.size, r.place) for r in setjoin.prefixes(df, threshold).collect()}
+        want = {}
+        for k, s in sets:
+            order = sorted(s, key=lambda h: (often[h], h))[: len(s) - math.ceil(threshold * len(s) - 1e-6) + 1]
+            want |= {(k, h): (len(s), i) for i, h in enumerate(order) if often[h] > 1}
+        assert got == want
